@@ -46,7 +46,7 @@ def anchors(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     words = F.filter(pieces(ascii_lower(F.col("text"))), lambda w: w != "")
     held = durable(items.select("item_id", words.alias("words")).filter("size(words) > 0").withColumn("row", F.monotonically_increasing_id()), "decontam-items")
     vocabulary = durable(held.select(F.explode("words").alias("w")).select(_key(F.col("w")).alias("key")).distinct(), "decontam-words")
-    heard = docs.select(F.explode(pieces(F.col("text"))).alias("w")).select(_key(F.col("w")).alias("key"))
+    heard = docs.select(F.explode_outer(pieces(F.col("text"))).alias("w")).select(_key(F.col("w")).alias("key"))
     counts = heard.join(small(vocabulary, vocabulary.count()), "key").groupBy("key").agg(F.count("*").alias("n"))
     placed = held.select("row", F.posexplode("words").alias("at", "w")).withColumn("key", _key(F.col("w"))).join(counts, "key", "left")
     ranked = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("ranks"))
@@ -69,14 +69,18 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
     """Maximal verified stretches: ``doc_id, text_hash, item_id, first, last`` (word positions)."""
     table = durable(anchors(docs, items, window), "decontam-anchors")
     words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), pieces(F.col("text")).alias("a"))
-    stream = words.select("doc_id", "text_hash", "a", F.posexplode("a").alias("i", "w")).withColumn("key", _key(F.col("w")))
+    # outer: pieces() is never empty, and no filter that would split every text twice is inferred
+    stream = words.select("doc_id", "text_hash", "a", F.posexplode_outer("a").alias("i", "w")).withColumn("key", _key(F.col("w")))
     near = lambda doc, item: F.lower(doc) == F.lower(F.get(item, F.lit(0)))
     before, after = F.when(F.col("i") > 0, F.get("a", F.col("i") - 1)), F.get("a", F.col("i") + 1)
     likely = (F.col("length") == 1) | near(before, F.col("before")) | near(after, F.col("after"))
-    matched = stream.join(small(table, table.count()), "key").filter((ascii_lower(F.col("w")) == F.col("anchor")) & likely)
+    matched = stream.join(small(table, table.count()), "key").filter(likely)
     left = F.reverse(F.slice("a", F.greatest(F.lit(1), F.col("i") - window + 2), F.least(F.col("i"), F.lit(window - 1))))
     right = F.slice("a", F.col("i") + 2, window - 1)
-    runs = matched.select("doc_id", "text_hash", "item_id", "length", "i", _run(left, F.col("before")).alias("l"), _run(right, F.col("after")).alias("r"))
+    # Candidates carry the words around the anchor, not the document. They are written before they are verified: verification
+    # uses lambdas, which must not be pushed into the join, where they would take the word stream out of generated code.
+    near_by = durable(matched.select("doc_id", "text_hash", "item_id", "length", "i", "w", "anchor", "before", "after", left.alias("left"), right.alias("right")), "decontam-candidates")
+    runs = near_by.filter(ascii_lower(F.col("w")) == F.col("anchor")).select("doc_id", "text_hash", "item_id", "length", "i", _run(F.col("left"), F.col("before")).alias("l"), _run(F.col("right"), F.col("after")).alias("r"))
     return runs.filter("l + r + 1 >= length").select("doc_id", "text_hash", "item_id", (F.col("i") - F.col("l")).alias("first"), (F.col("i") + F.col("r")).alias("last"))
 
 
