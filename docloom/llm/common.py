@@ -1,13 +1,14 @@
-"""What the operators of this subpackage share: word rules, durable tables, size checks."""
+"""What the operators of this subpackage share: word rules, size checks; and the durable tables of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import durable, scratch_path
+
+__all__ = ["SPACE_CLASS", "WORD", "ascii_lower", "durable", "input_bytes", "parts", "scratch_path", "small", "word_count"]
+
 #: The six ASCII white-space characters of the word rule ``[^\x20\x09-\x0D]+``; bytes.split() uses the same six.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,40 +28,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, A_Z, a_z)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset a local session gets a temporary folder; any other session must name one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else None
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, which is deleted when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that losing executors costs no recomputation."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if its counted ``rows`` stay within ``limit``; else a shuffled join is left to Spark."""
     return F.broadcast(df) if rows <= limit else df
