@@ -24,7 +24,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document with the smallest id of each group of near duplicates. Rows that share an id stay or go together; rows without one stay."""
     classes = jaccard.similarity_components(docs.select("doc_id", "text"))
     gone = durable(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-gone")
-    return docs.join(small(gone, gone.count()), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = small(gone, gone.count())
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard and its slot there."""
-    return sharding.shuffle_into_shards(docs, carry=["doc_id"])
+    return sharding.shuffle_into_shards(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

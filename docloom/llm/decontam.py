@@ -103,4 +103,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
 def clean_documents(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, unchanged."""
     bad = durable(contamination(docs, items, **how).filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct(), "decontam-bad")
-    return docs.join(small(bad, bad.count()), docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left_anti")
+    bad = small(bad, bad.count())
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_d"]) & (F.xxhash64(docs["text"]) == bad["_t"]), "left_anti")

@@ -104,5 +104,7 @@ def mixed_documents(docs: DataFrame, *, key: str = "doc_id", **how) -> DataFrame
     Rows that share a key take the copies of one of them. Input columns are returned unchanged.
     """
     whole = (2 * F.col("part") >= F.col("size")) & (F.col("start") < F.col("rest"))
-    copies = mix(docs, key=key, **how).groupBy(F.col(key).alias("_mix_key")).agg(F.max(F.col("epochs") + whole.cast("long")).alias("_mix_copies")).filter("_mix_copies > 0")
-    return docs.join(copies, F.col(key).eqNullSafe(F.col("_mix_key"))).withColumn("_mix_copy", F.explode(F.expr("sequence(1L, _mix_copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = mix(docs, key=key, **how).groupBy(F.col(key).alias("id")).agg(F.max(F.col("epochs") + whole.cast("long")).alias("copies")).filter("copies > 0")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # no name of a column can clash with one used here
+    joined = docs.toDF(*names).join(copies, F.col(names[docs.columns.index(key)]).eqNullSafe(F.col("id")))
+    return joined.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

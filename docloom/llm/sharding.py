@@ -83,59 +83,61 @@ def text_columns(text: Column) -> list[Column]:
     return [(F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")]
 
 
-def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, *, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
+def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, *, seed: int = SEED, narrow: bool = False) -> DataFrame:
     """``rows`` with ``shard`` and ``slot``: a uniformly random permutation cut into shards of equal counts.
 
-    ``carry``: columns to carry through the exchanges; the others are joined at the end by the row's place.
+    ``narrow``: rows are small enough to travel through both exchanges; else only their places do, and rows are joined at the end.
+    Columns of ``rows`` that are called shard or slot are replaced.
     """
     spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "shard")
+    rows = rows.drop("shard", "slot")
+    names = [f"c{i}" for i in range(len(rows.columns))]  # no name of a column can clash with one used here
+    back = [F.col(n).alias(c) for n, c in zip(names, rows.columns, strict=True)]
+    rows = rows.toDF(*names)
     rows.write.parquet(path)
+    spot = ["file", "piece", "row"]
     place = [
-        F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)-", 1).cast("long"), F.lit(0)).alias("_file"),
-        F.regexp_extract(F.col("_metadata.file_name"), r"c(\d+)", 1).alias("_piece"),
-        F.col("_metadata.row_index").alias("_row"),
+        F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)-", 1).cast("long"), F.lit(0)).alias("file"),
+        F.regexp_extract(F.col("_metadata.file_name"), r"-c(\d+)\.", 1).alias("piece"),
+        F.col("_metadata.row_index").alias("row"),
     ]
     staged = spark.read.schema(rows.schema).parquet(path).select("*", *place)
     n = staged.count()
     n_cells = max(1, min(MAX_CELLS, -(-n // CELL_ROWS)))
-    cell = F.pmod(F.xxhash64(F.lit(seed), F.col("_file"), F.col("_piece"), F.expr("_row div 256")), F.lit(n_cells)).cast("int")
-    carry = rows.columns if carry is None else carry
-    narrow = staged.select(*[F.col(f"`{c}`") for c in carry], "_file", "_piece", "_row", cell.alias("_cell"))
+    cell = F.pmod(F.xxhash64(F.lit(seed), F.col("file"), F.col("piece"), F.expr("row div 256")), F.lit(n_cells)).cast("int")
+    carry = names if narrow else []
 
-    counts = dict(staged.select(cell.alias("_cell")).groupBy("_cell").count().collect())
+    counts = dict(staged.select(cell.alias("cell")).groupBy("cell").count().collect())
     matrix = communication_matrix([counts.get(c, 0) for c in range(n_cells)], shard_sizes(n, shards), seed)
     ends = [[sum(row[: s + 1]) for s in range(shards)] for row in matrix]
-    cuts = spark.createDataFrame(list(enumerate(ends)), "_cell int, _ends array<long>")  # n_cells <= MAX_CELLS rows
+    cuts = spark.createDataFrame(list(enumerate(ends)), "cell int, ends array<long>")  # n_cells <= MAX_CELLS rows
 
-    draw = lambda salt: F.xxhash64(F.lit(seed + salt), F.col("_file"), F.col("_piece"), F.col("_row"))
-    spot = ["_file", "_piece", "_row"]
-    in_cell = Window.partitionBy("_cell").orderBy("_draw", *spot)
+    draw = lambda salt: F.xxhash64(F.lit(seed + salt), F.col("file"), F.col("piece"), F.col("row"))
+    in_cell = Window.partitionBy("cell").orderBy("draw", *spot)
     sent = (
-        narrow.withColumn("_draw", draw(1))
-        .withColumn("_rank", F.row_number().over(in_cell))
-        .join(F.broadcast(cuts), "_cell")
-        .withColumn("shard", F.size(F.filter("_ends", lambda end: end < F.col("_rank"))))
-        .drop("_cell", "_draw", "_rank", "_ends")
+        staged.select(*carry, *spot, cell.alias("cell"), draw(1).alias("draw"))
+        .withColumn("rank", F.row_number().over(in_cell))
+        .join(F.broadcast(cuts), "cell")
+        .withColumn("shard", F.size(F.filter("ends", lambda end: end < F.col("rank"))))
+        .drop("cell", "draw", "rank", "ends")
     )
 
     n_ranges = max(1, min(MAX_RANGES, -(-n // (shards * RANGE_ROWS))))
-    sent = sent.withColumn("_draw", draw(2)).withColumn("_range", F.pmod("_draw", F.lit(n_ranges)).cast("int"))
-    before = Window.partitionBy("_s").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sent.groupBy(F.col("shard").alias("_s"), F.col("_range").alias("_r")).count().select("_s", "_r", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    in_range = Window.partitionBy("shard", "_range").orderBy("_draw", *spot)
+    sent = sent.withColumn("draw", draw(2)).withColumn("range", F.pmod("draw", F.lit(n_ranges)).cast("int"))
+    before = Window.partitionBy("s").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sent.groupBy(F.col("shard").alias("s"), F.col("range").alias("r")).count().select("s", "r", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    in_range = Window.partitionBy("shard", "range").orderBy("draw", *spot)
     placed = (
-        sent.withColumn("_at", F.row_number().over(in_range) - 1)
-        .join(offsets, (F.col("shard") == F.col("_s")) & (F.col("_range") == F.col("_r")))
-        .withColumn("slot", (F.col("_offset") + F.col("_at")).cast("long"))
+        sent.withColumn("at", F.row_number().over(in_range) - 1)
+        .join(offsets, (F.col("shard") == F.col("s")) & (F.col("range") == F.col("r")))
+        .withColumn("slot", (F.col("offset") + F.col("at")).cast("long"))
     )
-    if carry == rows.columns:
-        return placed.select(*[F.col(f"`{c}`") for c in carry], "shard", "slot")
-    keys = placed.select("shard", "slot", *[F.col(c).alias(f"{c}2") for c in spot])
-    same = (F.col("_file") == F.col("_file2")) & (F.col("_piece") == F.col("_piece2")) & (F.col("_row") == F.col("_row2"))
-    return staged.join(keys, same).select(*[F.col(f"`{c}`") for c in rows.columns], "shard", "slot")
+    if narrow:
+        return placed.select(*back, "shard", "slot")
+    return staged.join(placed.select("shard", "slot", *spot), spot).select(*back, "shard", "slot")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, *, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
     """Shard and slot of every document, with its size and checksum, under the law of equal row counts."""
     rows = docs.select(F.col(key).alias("doc_id"), *text_columns(F.col(text)))
-    return shuffle_into_shards(rows, shards, seed=seed).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return shuffle_into_shards(rows, shards, seed=seed, narrow=True).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
