@@ -33,9 +33,21 @@ def _folding() -> tuple[str, str]:
 
 
 MARKED, BARE = _folding()
-#: Characters that the built-in tokenizer folds as NFKD does; a text with others goes to the exact one.
-_PLAIN = "".join(chr(c) for c in range(0xC0, 0x250) if unicodedata.normalize("NFKD", chr(c).lower()) == chr(c).lower())
-VETTED = r"[\x00-\x7f" + MARKED + MARKED.upper() + _PLAIN + r"ß¡¿«»§©®°±·×÷‐-–—‘’“”„†•‹›€]*"
+
+
+def _vetted() -> str:
+    """A character class of what the built-in tokenizer folds as NFKD does: ASCII, Latin letters, common punctuation."""
+    held = {*range(0x80), *map(ord, MARKED + "ß¡¿«»§©®°±·×÷‐–—‘’“”„†•‹›€")}
+    for cp in range(0xC0, 0x250):
+        c = chr(cp)
+        if len(c.lower()) == 1 and (c.lower() in MARKED or unicodedata.normalize("NFKD", c.lower()) == c.lower()):
+            held.add(cp)
+    starts = [c for c in sorted(held) if c - 1 not in held]
+    ends = [c for c in sorted(held) if c + 1 not in held]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True))
+
+
+UNVETTED = f"[^{_vetted()}]"
 
 
 def strip_bom(source: Column) -> Column:
@@ -148,7 +160,7 @@ def tokens(text: Column) -> Column:
 
 
 def is_vetted(text: Column) -> Column:
-    return text.rlike(f"\\A{VETTED}\\z")
+    return ~text.rlike(r"[^\x00-\x7f]") | ~text.rlike(UNVETTED)
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -281,7 +281,19 @@ put("merge_incremental", DOCS, "SELECT bundle, path, sha256(CASE WHEN bundle = '
 put("delete_bundle", DOCS, "SELECT bundle, count(*) AS n_documents, sum(octet_length(encode(source)))::BIGINT AS bytes FROM docs WHERE bundle <> 'src2' GROUP BY bundle")
 put("bundle_union", f"{CAT}, {LOG}", "SELECT bundle, max(t) = 1 AS touched FROM (SELECT bundle, 0 AS t FROM cat UNION ALL SELECT bundle, 1 FROM log) GROUP BY bundle")
 put("restore_as_of", f"{LOG}, {_state('base', f'seq <= {HALF}')}", "SELECT * FROM base")
-put("snapshot_digest", f"{CAT}, p AS (SELECT bundle, sha256(string_agg(path || ':' || sha256(source), chr(10) ORDER BY path)) AS digest FROM cat GROUP BY bundle)", "SELECT sha256(string_agg(bundle || ':' || digest, chr(10) ORDER BY bundle)) AS digest FROM p")
+put(
+    "snapshot_digest",
+    f"{CAT}, x AS (SELECT sha256(bundle || '/' || path || chr(0) || sha256(source)) AS h FROM cat), s AS (SELECT count(*) AS n, "
+    + ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)::VARCHAR AS l{i}" for i in range(4))
+    + " FROM x)",
+    "SELECT sha256(concat_ws('-', n::VARCHAR, l0, l1, l2, l3)) AS digest FROM s",
+)
+put(
+    "watch_bursts",
+    "e AS (SELECT user_id, ts, coalesce(date_diff('microsecond', lag(ts) OVER w, ts) >= 21600000000, TRUE) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)",
+    'SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOURS AS "end", count(*) AS n FROM g GROUP BY user_id, k',
+)
+put("watch_replay", "", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 REV = "rev AS (SELECT strftime(day, '%Y%m%d') AS revision, CASE WHEN day > DATE '2024-01-01' THEN strftime(day - 1, '%Y%m%d') END AS parent, sha256(n::VARCHAR) AS snapshot, strftime(day, '%Y-%m-%d') AS created FROM (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1))"
 CHAIN = f"RECURSIVE {REV}, chain AS (SELECT revision, 0 AS depth FROM rev WHERE revision = '{HEAD}' UNION ALL SELECT r.parent, c.depth + 1 FROM chain c JOIN rev r ON r.revision = c.revision WHERE r.parent IS NOT NULL), anc AS (SELECT r.*, c.depth FROM chain c JOIN rev r ON r.revision = c.revision)"
 put("history_page", CHAIN, "SELECT revision, parent, created, depth::BIGINT AS depth FROM anc WHERE depth >= 5 ORDER BY depth LIMIT 20")

@@ -490,9 +490,26 @@ def restore_as_of(spark, sf_dir):
 
 @query
 def snapshot_digest(spark, sf_dir):
-    docs = I.hashes(catalog(spark, sf_dir))
-    per = docs.groupBy("bundle").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "hash"))), lambda x: F.concat(x["path"], F.lit(":"), x["hash"])), "\n"), 256).alias("digest"))
-    return per.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bundle", "digest"))), lambda x: F.concat(x["bundle"], F.lit(":"), x["digest"])), "\n"), 256).alias("digest"))
+    from .store import digest_of
+
+    return digest_of(catalog(spark, sf_dir))
+
+
+@query
+def watch_bursts(spark, sf_dir):
+    from ..streaming.watch import bursts
+
+    return bursts(table(spark, sf_dir, "events"), "user_id", gap="6 hours")
+
+
+@query
+def watch_replay(spark, sf_dir):
+    from ..sources.shared import scratch_path
+    from ..streaming.watch import replay
+
+    out = scratch_path(spark, "replay")
+    replay(spark, sf_dir, "events.parquet", f"{out}/checkpoint", f"{out}/state")
+    return spark.read.parquet(f"{out}/state/0").select("user_id", "event_id", "event_type")
 
 
 def revisions(spark, sf_dir) -> DataFrame:
