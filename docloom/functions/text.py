@@ -50,6 +50,11 @@ def _vetted() -> str:
 UNVETTED = f"[^{_vetted()}]"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_bom(source: Column) -> Column:
     return F.regexp_replace(source, r"\A\x{feff}", "")
 
@@ -89,19 +94,25 @@ def slugify(heading: Column) -> Column:
 
 def truncate(value: Column, width: int = SUMMARY_WIDTH) -> Column:
     """At most ``width`` characters, cut at the last space if that is past the middle; an ellipsis marks the cut."""
-    cut = F.substring(value, 1, width)
-    last = F.when(F.instr(F.reverse(cut), " ") > 0, F.length(cut) - F.instr(F.reverse(cut), " ")).otherwise(F.lit(-1))
-    kept = F.when(last > width / 2, F.substr(cut, F.lit(1), last)).otherwise(cut)
-    return F.when(F.length(value) <= width, value).otherwise(F.concat(F.regexp_replace(kept, f"[{SPACE}]+\\z", ""), F.lit("…")))
+    def cut(v: Column) -> Column:
+        kept = F.regexp_replace(F.substring(v, 1, width), rf"\A([\s\S]{{{width // 2 + 1},}}) [^ ]*\z", "$1")
+        return F.when(F.length(v) <= width, v).otherwise(F.concat(F.regexp_replace(kept, f"[{SPACE}]+\\z", ""), F.lit("…")))
+
+    return let(value, cut)
 
 
 def first_sentence(body: Column) -> Column:
     """The first sentence of the first line of prose outside closed code fences."""
-    prose = F.regexp_replace(body, r"(?m)(?<![^\n\r\x{2028}\x{2029}])```[\s\S]*?(?<=[\n\r\x{2028}\x{2029}])```[ \t]*(?![^\n\r\x{2028}\x{2029}])", "")
-    lines = F.filter(F.split(prose, "\n"), lambda line: ~line.rlike(rf"\A[{SPACE}]*\z") & ~line.rlike(rf"\A[{SPACE}]*(?:#|>|<!--|!\[|\||-{{3,}}|={{3,}})"))
-    line = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-    sentence = F.regexp_extract(line, rf"\A([\s\S]*?[.!?])(?:[{SPACE}]|\z)", 1)
-    return _trim(F.when(sentence != "", sentence).otherwise(line))
+    fenced = F.regexp_replace(body, r"(?m)(?<![^\n\r\x{2028}\x{2029}])```[\s\S]*?(?<=[\n\r\x{2028}\x{2029}])```[ \t]*(?![^\n\r\x{2028}\x{2029}])", "")
+    prose = F.when(F.contains(body, F.lit("```")), fenced).otherwise(body)
+    skipped = rf"\A[{SPACE}]*(?:\z|#|>|<!--|!\[|\||-{{3,}}|={{3,}})"
+    lines = F.filter(F.split(prose, "\n"), lambda line: ~line.rlike(skipped))
+
+    def cut(line: Column) -> Column:
+        sentence = F.regexp_extract(line, rf"\A([\s\S]*?[.!?])(?:[{SPACE}]|\z)", 1)
+        return _trim(F.coalesce(F.nullif(sentence, F.lit("")), line))
+
+    return let(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), cut)
 
 
 def _trim(value: Column) -> Column:
@@ -140,16 +151,19 @@ def link_targets(body: Column) -> Column:
 def resolve_target(target: Column, path: Column) -> Column:
     """The bundle path that ``target`` names in the document at ``path``; null for anchors, external and empty targets."""
     decoded = F.try_url_decode(F.replace(target, F.lit("+"), F.lit("%2B")))
-    bad = decoded.isNull() | (F.contains(decoded, F.lit("�")) & ~F.contains(target, F.lit("�")))
-    plain = F.regexp_extract(F.when(bad, target).otherwise(decoded), r"\A([^#?]*)", 1)
-    folder = F.when(plain.startswith("/"), F.lit("")).otherwise(F.regexp_extract(path, r"\A(.*/)?[^/]*\z", 1))
-    steps = F.split(F.concat(folder, plain), "/")
+    # a sequence that is no UTF-8 decodes to replacement characters
+    sound = lambda d: F.when(d.isNull() | (F.contains(d, F.lit("\ufffd")) & ~F.contains(target, F.lit("\ufffd"))), target).otherwise(d)
+    plain = F.regexp_extract(F.when(F.contains(target, F.lit("%")), let(decoded, sound)).otherwise(target), r"\A([^#?]*)", 1)
     empty = F.array().cast("array<string>")
-    kept = F.aggregate(steps, empty, lambda done, s: F.when(s.isin("", "."), done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))))
-    joined = F.array_join(kept, "/")
-    named = F.when(joined.rlike(r"(?i)\.md\z"), joined).otherwise(F.concat(joined, F.lit(".md")))
-    outside = target.startswith("#") | target.rlike(r"(?i)\A[a-z][a-z0-9+.-]*:") | (plain == "")
-    return F.when(~outside, named)
+
+    def walk(p: Column) -> Column:
+        folder = F.when(p.startswith("/"), F.lit("")).otherwise(F.regexp_extract(path, r"\A(.*/)?[^/]*\z", 1))
+        step = lambda done, s: F.when(s.isin("", "."), done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
+        named = lambda j: F.when(j.rlike(r"(?i)\.md\z"), j).otherwise(F.concat(j, F.lit(".md")))
+        return F.when(p != "", let(F.array_join(F.aggregate(F.split(F.concat(folder, p), "/"), empty, step), "/"), named))
+
+    outside = target.startswith("#") | target.rlike(r"(?i)\A[a-z][a-z0-9+.-]*:")
+    return F.when(~outside, let(plain, walk))
 
 
 def tokens(text: Column) -> Column:

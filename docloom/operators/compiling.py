@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import python as P
 from ..functions import text as T
 from ..sources.markdown import concept_documents
+from ..sources.shared import durable
 
 COLUMNS = ["id", "kind", "status", "grain", "summary", "links"]
 TENANT_COLUMNS = ["id", "bundle", "kind", "status", "grain", "summary", "links"]
@@ -17,18 +18,25 @@ _SIMPLE = r"\A(?:[A-Za-z_][A-Za-z0-9_-]*:[ \t]+(?:[A-Za-z][^\n\r:#]*|\d{4}-\d{2}
 _NOT_STRINGS = r"(?m)^[A-Za-z_][A-Za-z0-9_-]*:[ \t]+(?:null|Null|NULL|true|True|TRUE|false|False|FALSE)[ \t]*\r?$"
 
 
+def split_frontmatter(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``head``, ``body``, ``conformant``, and ``simple``: whether built-ins can read the head."""
+    source = docs.withColumn("source", T.strip_bom(F.col("source")))
+    block = source.withColumn("block", F.when(F.startswith("source", F.lit("---")), T.frontmatter_block(F.col("source"))).otherwise(F.lit("")))
+    split = block.select("*", T.frontmatter_text(F.col("block")).alias("head"), F.substr("source", F.length("block") + 1).alias("body"), (F.col("block") != "").alias("conformant")).drop("block", "source")
+    return split.withColumn("simple", (F.col("head") == "") | (F.col("head").rlike(_SIMPLE) & ~F.col("head").rlike(_NOT_STRINGS)))
+
+
 def parse_frontmatter(docs: DataFrame) -> DataFrame:
-    """``docs`` with the string fields of its frontmatter, ``body``, ``conformant``, ``has_stale_after`` and ``error``.
+    """``docs`` with the string fields of its frontmatter, ``body``, ``conformant``, ``has_stale_after`` and ``error``; without ``source``.
 
-    Simple heads stay in the JVM; only the others go to the YAML reader.
+    Documents are split once, into a stored table, which all later steps read. Simple heads stay in the JVM; only the others go
+    to the YAML reader.
     """
-    split = docs.withColumn("source", T.strip_bom(F.col("source"))).select("*", T.frontmatter_text(F.col("source")).alias("_head"), T.body_of(F.col("source")).alias("body"))
-    split = split.withColumn("conformant", F.length("body") != F.length("source"))
-    simple = (F.col("_head") == "") | (F.col("_head").rlike(_SIMPLE) & ~F.col("_head").rlike(_NOT_STRINGS))
-    field = lambda k: F.btrim(F.regexp_extract("_head", rf"(?:\A|\n){k}:[ \t]+([^\n\r]*)", 1), F.lit(" \t"))
-    plain = split.filter(simple).select("*", *[field(k).alias(k) for k in P.KEYS], F.col("_head").rlike(r"(?:\A|\n)stale_after:").alias("has_stale_after"), F.lit(None).cast("string").alias("error"))
-    other = split.filter(~simple).withColumn("_f", P.frontmatter_fields("_head")).select(*split.columns, *[F.col(f"_f.{k}").alias(k) for k in P.KEYS], "_f.has_stale_after", "_f.error")
-    return plain.unionByName(other).drop("_head")
+    split = durable(split_frontmatter(docs), "split")
+    field = lambda k: F.btrim(F.regexp_extract("head", rf"(?:\A|\n){k}:[ \t]+([^\n\r]*)", 1), F.lit(" \t"))
+    plain = split.filter("simple").select("*", *[field(k).alias(k) for k in P.KEYS], F.col("head").rlike(r"(?:\A|\n)stale_after:").alias("has_stale_after"), F.lit(None).cast("string").alias("error"))
+    other = split.filter("NOT simple").withColumn("f", P.frontmatter_fields("head")).select(*split.columns, *[F.col(f"f.{k}").alias(k) for k in P.KEYS], "f.has_stale_after", "f.error")
+    return plain.unionByName(other).drop("head", "simple")
 
 
 def derive_ids(docs: DataFrame) -> DataFrame:
@@ -71,7 +79,7 @@ def broken_links(links: DataFrame) -> DataFrame:
 def compile_documents(docs: DataFrame, width: int = T.SUMMARY_WIDTH) -> DataFrame:
     """Concepts: ``bundle, path, local_id, id, kind, status, grain, summary, title, stale_after, links, body`` and what diagnostics need."""
     parsed = parse_frontmatter(concept_documents(docs))
-    ids = global_ids(derive_ids(concept_documents(docs)))
+    ids = global_ids(derive_ids(parsed))
     links = resolved_links(parsed, ids)
     own = [F.col("bundle") == F.col("lb"), F.col("path") == F.col("lp")]
     per = links.filter((F.col("target") != F.col("path")) | F.col("target_id").isNull()).groupBy(F.col("bundle").alias("lb"), F.col("path").alias("lp")).agg(F.array_sort(F.collect_set("target_id")).alias("links"), F.array_sort(F.collect_set(F.when(F.col("target_id").isNull(), F.col("raw")))).alias("broken"))

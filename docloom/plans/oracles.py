@@ -83,7 +83,7 @@ cells AS (SELECT bundle, path, {_slug("type", "-")} AS kind, {_cell("status")} A
   {_cell(f"CASE WHEN description <> '' THEN description ELSE {_sentence('body')} END")} AS long,
   CASE WHEN conformant THEN {_flat("title")} ELSE CASE WHEN regexp_matches(body, '{HEADING}') AND NOT (position('```' IN body) > 0 AND position('```' IN body) < position(regexp_extract(body, '{HEADING}', 0) IN body)) THEN {_flat(f"regexp_extract(body, '{HEADING}', 1)")} ELSE '' END END AS title,
   regexp_extract(trim(stale_after), '^(\\d{{4}}-\\d{{2}}-\\d{{2}})$', 1) AS stale_after, body, conformant, has_stale FROM parsed),
-concept AS (SELECT c.* EXCLUDE (st, long), CASE WHEN lower(st) = 'current' THEN '-' ELSE st END AS status, {_cut("long", 120)} AS summary, i.local_id, i.id,
+concept AS MATERIALIZED (SELECT c.* EXCLUDE (st, long), CASE WHEN lower(st) = 'current' THEN '-' ELSE st END AS status, {_cut("long", 120)} AS summary, i.local_id, i.id,
   coalesce(o.links, []) AS links, coalesce(o.broken, []) AS broken
   FROM cells c JOIN ids i ON i.bundle = c.bundle AND i.path = c.path LEFT JOIN own o ON o.bundle = c.bundle AND o.path = c.path)"""
 
