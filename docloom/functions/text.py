@@ -174,7 +174,8 @@ def tokens(text: Column) -> Column:
 
 
 def is_vetted(text: Column) -> Column:
-    return ~text.rlike(r"[^\x00-\x7f]") | ~text.rlike(UNVETTED)
+    # what isn't ASCII is a small part of most texts: only that is held against the class
+    return ~F.regexp_replace(text, r"[\x00-\x7f]+", "").rlike(UNVETTED)
 
 
 def estimate_tokens(text: Column) -> Column:

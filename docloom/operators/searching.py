@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import python as P
 from ..functions import text as T
+from ..sources.shared import durable
 
 K1, B = 1.2, 0.75
 WEIGHTS = {"body": 1, "fields": 2, "names": 4}
@@ -46,14 +47,22 @@ def tokenized(documents: DataFrame) -> DataFrame:
     return native.union(parts.filter(~plain).select("id", "w", P.tokens_exact("text").alias("terms")))
 
 
+def _frequencies(tokens: DataFrame) -> DataFrame:
+    return tokens.select("id", "w", F.explode("terms").alias("term")).groupBy("term", "id").agg(F.sum("w").alias("tf"))
+
+
+def _lengths(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("id").agg(F.sum(F.size("terms") * F.col("w")).alias("dl"))
+
+
 def term_frequencies(documents: DataFrame) -> DataFrame:
     """``term, id, tf``: weighted counts."""
-    return tokenized(documents).select("id", "w", F.explode("terms").alias("term")).groupBy("term", "id").agg(F.sum("w").alias("tf"))
+    return _frequencies(tokenized(documents))
 
 
 def doc_lengths(documents: DataFrame) -> DataFrame:
     """``id, dl``: weighted numbers of terms."""
-    return tokenized(documents).groupBy("id").agg(F.sum(F.size("terms") * F.col("w")).alias("dl"))
+    return _lengths(tokenized(documents))
 
 
 def doc_frequencies(postings: DataFrame) -> DataFrame:
@@ -61,9 +70,11 @@ def doc_frequencies(postings: DataFrame) -> DataFrame:
 
 
 def build_index(documents: DataFrame) -> Index:
-    stats = doc_lengths(documents)
+    """Index of ``documents``: each text is tokenized once, into a stored table that statistics and postings read."""
+    tokens = durable(tokenized(documents), "tokens")
+    stats = durable(_lengths(tokens), "lengths")
     n, mean = stats.agg(F.count("*"), F.avg("dl")).first()
-    return Index(term_frequencies(documents), stats, n, mean or 0.0)
+    return Index(_frequencies(tokens), stats, n, mean or 0.0)
 
 
 def query_terms(query: str) -> list[str]:

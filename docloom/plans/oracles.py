@@ -216,8 +216,9 @@ put("bm25_search", f"{PLAIN_TF}, {PLAIN_DL}, {_scored(TOPIC)}", RANKED.format(""
 put("search_bundle", f"{PLAIN_TF}, {PLAIN_DL}, {_scored(TOPIC)}", RANKED.format(" WHERE id IN (SELECT path FROM docs WHERE bundle = 'src3')"))
 put("baseline_search", f"{CAT}, docs AS (SELECT bundle || '/' || path AS path, source FROM cat), {PLAIN_TF[len(DOCS) + 2 :]}, {PLAIN_DL}, {_scored(QUESTION)}", RANKED.format(""))
 SEARCH = f"{CAT_TF}, {CAT_DL}, {_scored(QUESTION)}"
-HITS = f"hits AS ({RANKED.format('{}')})"
-EXPAND = "ex AS (SELECT t AS id, count(*) AS inbound, min(rank) AS first FROM (SELECT h.rank, unnest(c.links) AS t FROM hits h JOIN concept c USING (id)) WHERE t NOT IN (SELECT id FROM hits) AND t IN (SELECT id FROM concept{}) GROUP BY t ORDER BY inbound DESC, first, id LIMIT 8)"
+HITS = f"hits AS MATERIALIZED ({RANKED.format('{}')})"
+EXPAND = """tgt AS MATERIALIZED (SELECT t || '' AS t, count(*) AS inbound, min(rank) AS first FROM (SELECT h.rank, unnest(c.links) AS t FROM hits h JOIN concept c USING (id)) GROUP BY 1),
+ex AS MATERIALIZED (SELECT k.id, inbound, first FROM tgt JOIN (SELECT id FROM concept{}) k ON k.id = t LEFT JOIN hits h ON h.id = t WHERE h.id IS NULL ORDER BY inbound DESC, first, k.id LIMIT 8)"""
 
 
 def _window(text: str, query: str) -> str:
