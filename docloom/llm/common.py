@@ -33,10 +33,17 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Estimates from here on mean that Spark does not know a table's size.
+UNKNOWN = 1 << 50
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Spark's estimate of the size of ``df``: the size of its files for a scan."""
+    """Spark's estimate of the size of ``df``, that of its files for a scan; where there is none, its strings are measured."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 60)
+    if size < UNKNOWN:
+        return size
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    return df.agg(F.sum(sum(texts, F.lit(16)).cast("long"))).first()[0] or 0
 
 
 def parts(df: DataFrame, each: int, least: int = 1, most: int = 1 << 20) -> int:
