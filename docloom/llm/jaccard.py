@@ -19,7 +19,7 @@ How it runs:
 
 Defined results: words are lower-cased in A-Z only; a document with fewer words than n is one shingle; null, empty and wordless texts
 have the empty set and link with nothing; rows without an id have a null component and take no part; rows that share an id
-are one node; an empty table gives no rows. Sets are compared by 64-bit hashes of n-grams.
+are one document with several sets, which links by each of them; an empty table gives no rows. Sets are compared by 64-bit hashes of n-grams.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, parts
+from .common import durable, parts, small
 from .components import components
 
 N = 5
@@ -113,18 +113,17 @@ def prefixes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     size = docs.select("doc_id", "text")
     groups = parts(size, GROUP_BYTES, least=24)
     ranges = groups
-    keyed = size.withColumn("gid", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    keyed = size.withColumn("gid", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def ask(table: pa.Table) -> pa.Table:
         h, _ = shingles(table.column("text").to_pylist(), n)
         names, counts = np.unique(_short(h, ranges), return_counts=True)
         low = names.astype(np.uint32)
-        cuts = np.searchsorted(names, np.arange(1, ranges, dtype=np.uint64) << np.uint64(32))
-        low, many = np.split(low, cuts), np.split(np.minimum(counts, 255).astype(np.uint8), cuts)
-        full = [r for r in range(ranges) if len(low[r])]
+        full, first = np.unique((names >> np.uint64(32)).astype(np.int32), return_index=True)  # only ranges that this group has n-grams in
+        pieces = lambda a: pa.array([x.tobytes() for x in np.split(a, first[1:])[: len(full)]], pa.binary())
         gid = table.column("gid")[0].as_py()
-        return pa.table({"range": pa.array(full, pa.int32()), "gid": pa.array([gid] * len(full), pa.int32()), "names": pa.array([low[r].tobytes() for r in full], pa.binary()), "counts": pa.array([many[r].tobytes() for r in full], pa.binary())})
+        return pa.table({"range": pa.array(full, pa.int32()), "gid": pa.array([gid] * len(full), pa.int32()), "names": pieces(low), "counts": pieces(np.minimum(counts, 255).astype(np.uint8))})
 
     def answer(table: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(x, np.uint32) for x in table.column("names").to_pylist()]
@@ -233,23 +232,27 @@ def similarity_components(docs: DataFrame, *, n: int = N, percent: int = PERCENT
     table = durable(prefixes(docs, n, percent), "jaccard-prefixes")
     able = table.filter(F.col("prefix").isNotNull() & F.col("doc_id").isNotNull())
     classes = able.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("node"))
+    # A set is named by its class's smallest id and sig1: an id that several rows share may be the smallest of several classes.
     one = ["node", "n", "sig1", "sig2"]
-    nodes = durable(able.withColumnRenamed("doc_id", "node").join(classes.select(*one), one, "left_semi").dropDuplicates(["node"]).select("node", "n", "alone", "grams", "prefix"), "jaccard-nodes")
+    nodes = durable(able.withColumnRenamed("doc_id", "node").join(classes.select(*one), one, "left_semi").dropDuplicates(["node", "sig1", "sig2"]).select("node", "sig1", "n", "alone", "grams", "prefix"), "jaccard-nodes")
+    shared = durable(table.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("shared")).count().filter("count > 1").select("shared"), "jaccard-shared")
+    shared = small(shared, shared.count())
+    same = able.join(shared, F.col("doc_id") == F.col("shared")).join(classes, ["n", "sig1", "sig2"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
 
     entry = F.posexplode("prefix").alias("at", "name")
-    postings = nodes.select("node", "n", "alone", entry).select("name", "node", "n", "alone", (F.col("alone") + F.col("at")).alias("at"))
-    stats = postings.groupBy("name").agg(F.min(F.struct("alone", "n", "node", "at")).alias("hub"), F.count("*").alias("many")).filter("many > 1")
-    reached = durable(postings.join(stats, "name").select("name", "node", "n", "at", "hub"), "jaccard-postings")
+    postings = nodes.select("node", "sig1", "n", "alone", entry).select("name", "node", "sig1", "n", "alone", (F.col("alone") + F.col("at")).alias("at"))
+    stats = postings.groupBy("name").agg(F.min(F.struct("alone", "n", "node", "sig1", "at")).alias("hub"), F.count("*").alias("many")).filter("many > 1")
+    reached = durable(postings.join(stats, "name").select("name", "node", "sig1", "n", "at", "hub"), "jaccard-postings")
     a, b = F.col("n"), F.col("hub.n")
     pairs = (
         reached.filter((F.col("node") != F.col("hub.node")) & (100 * F.least(a, b) >= percent * F.greatest(a, b)))
-        .groupBy(F.col("hub.node").alias("x"), F.col("node").alias("y"))
+        .groupBy(F.col("hub.node").alias("x"), F.col("hub.sig1").alias("sx"), F.col("node").alias("y"), F.col("sig1").alias("sy"))
         .agg(F.first(b).alias("n1"), F.first(a).alias("n2"), F.min("hub.at").alias("at1"), F.min("at").alias("at2"))
         .filter((100 + percent) * F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) >= percent * (F.col("n1") + F.col("n2")))
     )
-    sets = lambda name, set_name: nodes.select(F.col("node").alias(name), F.col("grams").alias(set_name))
-    joined = pairs.join(sets("x", "set1"), "x").join(sets("y", "set2"), "y").select("x", "y", "n1", "n2", "set1", "set2")
-    links = durable(joined.mapInArrow(lambda it: _verify(it, percent), "u long, v long"), "jaccard-links")
+    sets = lambda name, sig, set_name: nodes.select(F.col("node").alias(name), F.col("sig1").alias(sig), F.col("grams").alias(set_name))
+    joined = pairs.join(sets("x", "sx", "set1"), ["x", "sx"]).join(sets("y", "sy", "set2"), ["y", "sy"]).select("x", "y", "n1", "n2", "set1", "set2")
+    links = durable(joined.mapInArrow(lambda it: _verify(it, percent), "u long, v long").union(same), "jaccard-links")
     labels = durable(components(links), "jaccard-labels")
 
     more = durable(_across(nodes, reached, labels, percent), "jaccard-links")
@@ -257,30 +260,33 @@ def similarity_components(docs: DataFrame, *, n: int = N, percent: int = PERCENT
         labels = durable(components(links.union(more)), "jaccard-labels")
 
     found = able.select("doc_id", "n", "sig1", "sig2").join(classes, ["n", "sig1", "sig2"]).join(labels.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left")
-    rest = table.filter(F.col("prefix").isNull() | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    # rows without partners of their own may share an id with rows that have some
+    told = durable(labels.join(shared, F.col("node") == F.col("shared"), "left_semi"), "jaccard-told")
+    rest = table.filter(F.col("prefix").isNull() | F.col("doc_id").isNull()).join(small(told, told.count()), F.col("doc_id") == F.col("node"), "left")
+    rest = rest.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
     out = rest.union(found.select("doc_id", "n", F.coalesce("label", "node")))
     return out.select("doc_id", "n_shingles", "component_id")
 
 
 def _across(nodes: DataFrame, reached: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links between documents that share a prefix n-gram but are of different components so far."""
-    comp = reached.select("name", "node", "n").join(labels.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left").select("name", "node", "n", F.coalesce("label", "node").alias("comp"))
+    comp = reached.select("name", "node", "sig1").join(labels.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left").select("name", "node", "sig1", F.coalesce("label", "node").alias("comp"))
     comp = durable(comp, "jaccard-open")
     mixed = comp.groupBy("name").agg(F.min("node").alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("name", "hub")
     near = comp.join(mixed, "name")
     closure = components(near.select(F.col("node").alias("u"), F.col("hub").alias("v")))
-    area = durable(near.select("node", "comp").distinct().join(closure.withColumnRenamed("label", "area"), "node"), "jaccard-areas")
+    area = durable(near.select("node", "sig1", "comp").distinct().join(closure.withColumnRenamed("label", "area"), "node"), "jaccard-areas")
 
     # blocks: components of more than BLOCK documents have their own, the others of an area share some
     sizes = area.groupBy("area", "comp").agg(F.count("*").alias("size"))
-    small = sizes.filter(F.col("size") <= BLOCK).groupBy("area").agg(F.sum("size").alias("small"))
-    sizes = sizes.join(small, "area", "left")
+    little = sizes.filter(F.col("size") <= BLOCK).groupBy("area").agg(F.sum("size").alias("small"))
+    sizes = sizes.join(little, "area", "left")
     whole = F.col("size") > BLOCK
     cut = lambda x: F.ceil(x / BLOCK)
-    home = F.when(whole, F.struct(F.col("comp").alias("own"), F.pmod(F.xxhash64("node"), cut(F.col("size"))).alias("i"))).otherwise(
+    home = F.when(whole, F.struct(F.col("comp").alias("own"), F.pmod(F.xxhash64("node", "sig1"), cut(F.col("size"))).alias("i"))).otherwise(
         F.struct(F.lit(None).cast("long").alias("own"), F.pmod(F.xxhash64("comp"), cut(F.col("small"))).alias("i"))
     )
-    homed = area.join(sizes, ["area", "comp"]).select("area", "node", "comp", home.alias("block"))
+    homed = area.join(sizes, ["area", "comp"]).select("area", "node", "sig1", "comp", home.alias("block"))
     homed = durable(homed, "jaccard-homes")
     blocks = homed.select("area", "block").distinct()
     other = blocks.select(F.col("area").alias("area2"), F.col("block").alias("block2"))
@@ -291,5 +297,5 @@ def _across(nodes: DataFrame, reached: DataFrame, labels: DataFrame, percent: in
     task = F.xxhash64("area", order("block"), order("block2")).alias("task")
     sides = tasks.select("area", task, F.explode(F.when(same, F.array(F.struct(F.col("block"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("block"), F.lit(0).alias("side")), F.struct(F.col("block2").alias("block"), F.lit(1).alias("side"))))).alias("e"))
     sides = sides.select("area", "task", order("e.block").alias("b"), "e.side")
-    work = homed.withColumn("b", order("block")).join(sides, ["area", "b"]).select("task", "side", "node", "comp").join(nodes.select("node", "n", "grams"), "node")
+    work = homed.withColumn("b", order("block")).join(sides, ["area", "b"]).select("task", "side", "node", "sig1", "comp").join(nodes.select("node", "sig1", "n", "grams"), ["node", "sig1"])
     return work.groupBy("task").applyInArrow(lambda t: _compare(t, percent), "u long, v long")

@@ -228,6 +228,25 @@ def test_large_group_of_near_copies_is_compared_in_blocks(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_rows_that_share_an_id_link_by_each_of_their_texts(spark):
+    rng = random.Random(11)
+    text = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
+    rows = []
+    for k in range(8):
+        left, right = text(60), text(90)
+        near = lambda t, at: " ".join([*t[:at], f"other{k}", *t[at + 1 :]])
+        # the id 100 + k has two texts, near to those of different documents; in turn its ids are smallest and largest
+        rows += [(100 + k, " ".join(left)), (100 + k, near(right, 1)), (100 + k, None), (200 + k if k % 2 else k, near(left, 59)), (300 + k, near(right, 2)), (400 + k, " ".join(left)), (500 + k, " ".join(text(30)))]
+    rows += [(9_000, " ".join(text(7))), (9_000, " ".join(text(8))), (9_000, "")]
+    got = jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    want = {i: i for i, _ in rows}
+    for k in range(8):
+        group = [100 + k, 200 + k if k % 2 else k, 300 + k, 400 + k]
+        want |= dict.fromkeys(group, min(group))
+    assert {(r["doc_id"], r["component_id"]) for r in got} == set(want.items())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(50, 40), (60, 50), (7, 7)]
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
