@@ -7,7 +7,7 @@ a match must agree in a neighbour of the anchor (length bound), is laid against
 (positional bound), and is verified word by word to both sides: the run of equal words around the anchor holds a window if it is as long as one.
 
 Nothing is exploded that does not match: words stream through the join with the anchors, whose table is broadcast when its counted rows
-allow it and shuffled otherwise.
+allow it. Beyond that words are shuffled, each with no more than its neighbours within a window, never with its document.
 
 Defined results: null texts have no words; items without words have no window; items without an id count in hits but not as items;
 rows equal in id and text share their result; repeated item ids count once; an empty benchmark contaminates nothing. Other columns are ignored.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, durable, small
+from .common import BROADCAST_ROWS, ascii_lower, durable, small
 
 WINDOW = 13
 #: A document is contaminated if hits * SHARE >= words.
@@ -47,7 +47,11 @@ def anchors(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     held = durable(items.select("item_id", words.alias("words")).filter("size(words) > 0").withColumn("row", F.monotonically_increasing_id()), "decontam-items")
     vocabulary = durable(held.select(F.explode("words").alias("w")).select(_key(F.col("w")).alias("key")).distinct(), "decontam-words")
     heard = docs.select(F.explode_outer(pieces(F.col("text"))).alias("w")).select(_key(F.col("w")).alias("key"))
-    counts = heard.join(small(vocabulary, vocabulary.count()), "key").groupBy("key").agg(F.count("*").alias("n"))
+    known = vocabulary.count()
+    if known > BROADCAST_ROWS:
+        counts = heard.groupBy("key").agg(F.count("*").alias("n")).join(vocabulary, "key")
+    else:
+        counts = heard.join(F.broadcast(vocabulary), "key").groupBy("key").agg(F.count("*").alias("n"))
     placed = held.select("row", F.posexplode("words").alias("at", "w")).withColumn("key", _key(F.col("w"))).join(counts, "key", "left")
     ranked = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("ranks"))
     rare = F.transform("ranks", lambda r: F.struct(r["n"].alias("n"), r["at"].alias("at")))
@@ -73,10 +77,15 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
     stream = words.select("doc_id", "text_hash", "a", F.posexplode_outer("a").alias("i", "w")).withColumn("key", _key(F.col("w")))
     near = lambda doc, item: F.lower(doc) == F.lower(F.get(item, F.lit(0)))
     before, after = F.when(F.col("i") > 0, F.get("a", F.col("i") - 1)), F.get("a", F.col("i") + 1)
-    likely = (F.col("length") == 1) | near(before, F.col("before")) | near(after, F.col("after"))
-    matched = stream.join(small(table, table.count()), "key").filter(likely)
     left = F.reverse(F.slice("a", F.greatest(F.lit(1), F.col("i") - window + 2), F.least(F.col("i"), F.lit(window - 1))))
     right = F.slice("a", F.col("i") + 2, window - 1)
+    if table.count() > BROADCAST_ROWS:
+        stream = stream.select("doc_id", "text_hash", "i", "w", "key", before.alias("w1"), after.alias("w2"), left.alias("l"), right.alias("r"))
+        before, after, left, right = (F.col(c) for c in ("w1", "w2", "l", "r"))
+    else:
+        table = F.broadcast(table)
+    likely = (F.col("length") == 1) | near(before, F.col("before")) | near(after, F.col("after"))
+    matched = stream.join(table, "key").filter(likely)
     # Candidates carry the words around the anchor, not the document. They are written before they are verified: verification
     # uses lambdas, which must not be pushed into the join, where they would take the word stream out of generated code.
     near_by = durable(matched.select("doc_id", "text_hash", "item_id", "length", "i", "w", "anchor", "before", "after", left.alias("left"), right.alias("right")), "decontam-candidates")
