@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import durable, scratch_path
 
-__all__ = ["SPACE_CLASS", "WORD", "ascii_lower", "durable", "input_bytes", "parts", "scratch_path", "small", "word_count"]
+__all__ = ["BROADCAST_ROWS", "SPACE_CLASS", "WORD", "ascii_lower", "durable", "input_bytes", "one_text", "parts", "scratch_path", "small", "word_count"]
 
 #: The six ASCII white-space characters of the word rule ``[^\x20\x09-\x0D]+``; bytes.split() uses the same six.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -28,6 +28,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, A_Z, a_z)
 
 
+def one_text() -> Column:
+    """Of the texts of a group, one that reruns choose again; merged before the exchange."""
+    return F.min_by("text", F.xxhash64("text")).alias("text")
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if its counted ``rows`` stay within ``limit``; else a shuffled join is left to Spark."""
     return F.broadcast(df) if rows <= limit else df

@@ -5,7 +5,7 @@ documents of a batch at once. The score never rises with symbols, capitals, excl
 The trees are fitted on at most ``TRAIN_ROWS`` labelled documents, drawn by hash.
 
 Defined results: null and empty texts have no words and fail the base rule; without labels, or with one class only, the base rule
-alone decides; several labels of one document count as their largest; repeated rows are judged each; an empty table gives no rows.
+alone decides; several labels of one document count as their largest; of rows that share an id one is learned from, and each is judged; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
+from .common import one_text
 
 TRAIN_ROWS = 20_000
 MIN_WORDS = 50
@@ -85,7 +86,8 @@ def document_statistics(docs: DataFrame, forest: gbt.Forest | None = None) -> Da
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> gbt.Forest | None:
     """Trees for ``labels.quality``, from at most ``rows`` labelled documents."""
     picked = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    held = document_statistics(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])).orderBy("doc_id").toPandas()
+    one = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), one_text())
+    held = document_statistics(one).orderBy("doc_id").toPandas()
     y = held["quality"].to_numpy(float)
     if not 0 < y.sum() < len(y):
         return None

@@ -337,6 +337,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(a == b for a, b in held) >= 0.95 * len(held)
 
 
+def test_learning_takes_one_row_of_each_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, None), (2, "x"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(4)], "doc_id long, quality int, toxic int")
+    held = toxicity.sample(docs, labels, 10)
+    want = {i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert sorted(r["doc_id"] for r in held.collect()) == sorted(want) and sorted(held.collect()) == sorted(toxicity.sample(docs.repartition(5), labels, 10).collect())
+
+
 def test_disguised_words_are_restored(spark):
     texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     channel = toxicity.Channel(toxicity.char_counts(texts))
@@ -395,7 +403,9 @@ def brute_contamination(docs, items):
     return out
 
 
-def test_contamination_equals_brute_force(spark):
+@pytest.mark.parametrize("rows", [decontam.BROADCAST_ROWS, 0])
+def test_contamination_equals_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows)
     rng = random.Random(9)
     word = lambda: rng.choice(["the", "of", "É", "é", f"w{rng.randrange(60)}"])
     items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 5, 12, 13, 14, 40])))) for i in range(30)] + [(98, None), (99, " -- "), (7, "twice the same id of an item")]
