@@ -282,12 +282,18 @@ put("merge_incremental", DOCS, "SELECT bundle, path, sha256(CASE WHEN bundle = '
 put("delete_bundle", DOCS, "SELECT bundle, count(*) AS n_documents, sum(octet_length(encode(source)))::BIGINT AS bytes FROM docs WHERE bundle <> 'src2' GROUP BY bundle")
 put("bundle_union", f"{CAT}, {LOG}", "SELECT bundle, max(t) = 1 AS touched FROM (SELECT bundle, 0 AS t FROM cat UNION ALL SELECT bundle, 1 FROM log) GROUP BY bundle")
 put("restore_as_of", f"{LOG}, {_state('base', f'seq <= {HALF}')}", "SELECT * FROM base")
+
+
+def _digest(docs: str) -> str:
+    """The digest of a set of documents, as a scalar subquery."""
+    lanes = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)::VARCHAR AS l{i}" for i in range(4))
+    return f"(SELECT sha256(concat_ws('-', n::VARCHAR, l0, l1, l2, l3)) FROM (SELECT count(*) AS n, {lanes} FROM (SELECT sha256(bundle || '/' || path || chr(0) || sha256(source)) AS h FROM {docs})))"
+
+
 put(
     "snapshot_digest",
-    f"{CAT}, x AS (SELECT sha256(bundle || '/' || path || chr(0) || sha256(source)) AS h FROM cat), s AS (SELECT count(*) AS n, "
-    + ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)::VARCHAR AS l{i}" for i in range(4))
-    + " FROM x)",
-    "SELECT sha256(concat_ws('-', n::VARCHAR, l0, l1, l2, l3)) AS digest FROM s",
+    CAT,
+    f"SELECT {_digest('cat')} AS digest",
 )
 put(
     "watch_bursts",
@@ -315,3 +321,8 @@ put("verify_consistency", COPIES, "SELECT bundle, path, CASE WHEN f.hash IS NULL
 put("import_bundles", f"{CAT}, {LOG}, {_state('now')}, st AS (SELECT DISTINCT bundle FROM now WHERE bundle <> 'b3'), fo AS (SELECT bundle FROM cat UNION SELECT bundle FROM now)", "SELECT bundle FROM st UNION SELECT bundle FROM fo WHERE bundle NOT IN (SELECT bundle FROM log WHERE bundle NOT IN (SELECT bundle FROM st))")
 put("migration_equivalence", f"{CAT}, a AS (SELECT bundle, path, sha256(source) AS hash FROM cat), b AS (SELECT bundle, path, sha256(CASE WHEN path LIKE '%77.md' THEN upper(source) ELSE source END) AS hash FROM cat)", "SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
 put("export_manifest", CAT, "SELECT bundle || '/' || path AS target, octet_length(encode(source))::BIGINT AS bytes, sha256(source) AS hash FROM cat")
+LITTLE = f"{CAT}, little AS (SELECT * FROM cat WHERE bundle IN ('geo', 'supply'))"
+put("scan_bundle", f"{CAT}, {CON}", "SELECT bundle, path, sha256(source) AS hash FROM con WHERE bundle IN ('geo', 'supply')")
+put("put_idempotent", LITTLE, f"SELECT 0::BIGINT AS attempt, false AS reused, {_digest('cat')} AS digest UNION ALL SELECT 1, true, {_digest('cat')} UNION ALL SELECT 2, false, {_digest('little')}")
+put("commit_chain", LITTLE, "SELECT d::BIGINT AS depth, true AS follows, (SELECT count(*) FROM little WHERE d <> 1 OR bundle = 'geo')::BIGINT AS n_documents FROM (VALUES (0), (1), (2)) v(d)")
+put("transact", f"{LOG}, {_state('now')}", "SELECT * FROM now")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from ..operators import reading as R
 from ..operators import searching as S
 from ..operators import transactions as X
 from ..sources import corpora, markdown
-from ..sources.shared import durable
+from ..sources.shared import durable, scratch_path
+from .store import Engine, digest_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -490,8 +492,6 @@ def restore_as_of(spark, sf_dir):
 
 @query
 def snapshot_digest(spark, sf_dir):
-    from .store import digest_of
-
     return digest_of(catalog(spark, sf_dir))
 
 
@@ -504,7 +504,6 @@ def watch_bursts(spark, sf_dir):
 
 @query
 def watch_replay(spark, sf_dir):
-    from ..sources.shared import scratch_path
     from ..streaming.watch import replay
 
     out = scratch_path(spark, "replay")
@@ -581,3 +580,59 @@ def verify_consistency(spark, sf_dir):
 @query
 def export_manifest(spark, sf_dir):
     return I.export_manifest(catalog(spark, sf_dir))
+
+
+# --- the store -------------------------------------------------------------------------------------------------------
+
+
+def engine(spark: SparkSession) -> Engine:
+    """A new, empty store in the shared folder."""
+    return Engine(spark, scratch_path(spark, "store").removeprefix("file://"), TENANT)
+
+
+def small_bundles(spark, sf_dir) -> DataFrame:
+    return catalog(spark, sf_dir).filter(F.col("bundle").isin("geo", "supply"))
+
+
+@query
+def scan_bundle(spark, sf_dir):
+    store = engine(spark)
+    store.put(small_bundles(spark, sf_dir))
+    folder = f"{store.home}/exported"
+    store.export_folder(folder)
+    return markdown.read_folder(spark, folder, navigation=False).select("bundle", "path", T.content_hash(F.col("source")).alias("hash")).orderBy("bundle", "path")
+
+
+@query
+def put_idempotent(spark, sf_dir):
+    store = engine(spark)
+    results = [store.put(docs) for docs in (catalog(spark, sf_dir), catalog(spark, sf_dir).repartition(5), small_bundles(spark, sf_dir))]
+    rows = [(i, r["reused"], r["snapshot"]) for i, r in enumerate(results)]
+    return spark.createDataFrame(rows, "attempt long, reused boolean, digest string")
+
+
+@query
+def commit_chain(spark, sf_dir):
+    store = engine(spark)
+    store.put(small_bundles(spark, sf_dir))
+    store.delete_bundle("supply")
+    first = store.history()["revisions"][-1]["revision"]
+    store.restore(first, store.head()["revision"])
+    page = store.history()["revisions"]
+    rows = [(i, (r["parent"] or "") == (page[i + 1]["revision"] if i + 1 < len(page) else ""), store.documents(r["revision"]).count()) for i, r in enumerate(page)]
+    return spark.createDataFrame(rows, "depth long, follows boolean, n_documents long")
+
+
+@query
+def transact(spark, sf_dir):
+    """The log's later half in transactions of at most ``X.MAX_CHANGES`` changes, each naming the hash it replaces, on top of its first half."""
+    store = engine(spark)
+    base = state(spark, sf_dir, HALF)
+    store.put(base)
+    held = base.select(F.col("bundle").alias("b"), F.col("path").alias("p"), T.content_hash(F.col("source")).alias("replaces"))
+    last = H.latest_state(change_log(spark, sf_dir).filter(F.col("seq") > HALF), "seq", ["bundle", "path"])
+    changes = last.join(held, (F.col("bundle") == F.col("b")) & (F.col("path") == F.col("p")), "left").filter("op = 'write' OR replaces IS NOT NULL")
+    rows = changes.select("op", "bundle", "path", F.when(F.col("op") == "write", F.col("content")).alias("content"), "replaces").orderBy("bundle", "path").toLocalIterator()
+    while batch := [r.asDict() for r in islice(rows, X.MAX_CHANGES)]:
+        store.transact(batch, store.head()["revision"])
+    return store.documents()
