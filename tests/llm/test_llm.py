@@ -353,6 +353,22 @@ def test_disguised_words_are_restored(spark):
     assert "idiot" in channel.tokens("an I d i o t here") and channel.tokens("a a a a a") == ["a"] * 5
 
 
+def test_spelled_words_are_decoded_with_their_gaps(spark):
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    words = {"idiot": 18, "worthless": 17, "moron": 15, "stupid": 11, "such": 3, "person": 3, "a": 200, "i": 200, "the": 30_000}
+    channel = toxicity.Channel(toxicity.char_counts(texts), words)
+    said = {
+        "such a s t u p i d person": "stupid", "1 d 1 0 t": "idiot", "i d 1 0 t": "idiot", "s  t  u  p  i  d": "stupid", "w 0 r t h l e s s": "worthless",
+        "$ t u p i d": "stupid", "s t * p i d": "stupid", "i-d-i-o-t.": "idiot", "s t u u u p i d": "stupid",
+    }
+    for text, word in said.items():
+        assert channel.tokens(text)[len(text.split()) :] == [word], text
+    assert "moron" in channel.tokens("am I m o r o n")
+    long = "s t u p i d " * 20 + "i d i o t"
+    assert channel.tokens(long)[len(long.split()) :] == ["stupid"] * 20 + ["idiot"]
+    assert channel.tokens("1 2 3 4 5") == list("12345")
+
+
 # --- urls ---
 
 
