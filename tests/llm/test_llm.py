@@ -353,6 +353,18 @@ def test_disguised_words_are_restored(spark):
     assert "idiot" in channel.tokens("an I d i o t here") and channel.tokens("a a a a a") == ["a"] * 5
 
 
+def test_no_gate_keeps_a_token_from_the_decoder(spark):
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    channel = toxicity.Channel(toxicity.char_counts(texts), {"idiot": 18, "clown": 19, "stupid": 11, "the": 30_000})
+    for said, meant in {"idi07": "idiot", "1d107": "idiot", "stuupiid": "stupid", "stu" + "u" * 40 + "pid": "stupid", "$tupid": "stupid", "(idiot)": "idiot", "stup1d" + "!" * 60: "stupid", "idiot": "idiot"}.items():
+        assert meant in channel.readings(said), said
+    assert "asshole" in channel.readings("asshole!")  # a true double letter stays a reading
+    weights = toxicity._Weights(channel, {"idiot": 3.0, "clow-": 2.0, "asshole": 2.5})
+    for said in ("1d10t!", "idioott", "(cl0wns", "asshole", "eed", "b2b", "clloown", "x*y"):
+        assert weights[said] == max(weights.terms.get(t, 0.0) for w in channel.readings(said) for t in toxicity.terms_of(w)), said
+    assert channel.plain("a1" * 20_000).startswith("a")
+
+
 def test_spelled_words_are_decoded_with_their_gaps(spark):
     texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     words = {"idiot": 18, "worthless": 17, "moron": 15, "stupid": 11, "such": 3, "person": 3, "a": 200, "i": 200, "the": 30_000}
