@@ -139,6 +139,15 @@ def serialize_bundle(concepts: DataFrame) -> DataFrame:
     return concepts.groupBy("bundle").agg(rows.alias("r")).select("bundle", F.concat(head, F.array_join(F.transform("r", lambda x: x["line"]), "\n"), F.lit("\n")).alias("tsv"))
 
 
+def bundle_lines(concepts: DataFrame) -> DataFrame:
+    """The files of ``serialize_bundle`` as ordered lines ``bundle, local_id, line``, of whole collections: no row holds more than one line. The head of a bundle has an empty id."""
+    links = F.when(F.size("links") == 0, F.lit(T.EMPTY)).otherwise(F.array_join("links", " "))
+    lines = concepts.select("bundle", "local_id", F.concat(F.concat_ws("\t", "local_id", "kind", "status", "grain", "summary", links), F.lit("\n")).alias("line"))
+    head = F.concat(F.lit("# bundle: "), F.col("bundle"), F.lit("\n" + "\t".join(COLUMNS) + "\n"))
+    heads = concepts.select("bundle").distinct().select("bundle", F.lit("").alias("local_id"), head.alias("line"))
+    return heads.unionByName(lines).orderBy("bundle", "local_id")
+
+
 def tenant_preamble(tenant: str, bundles: list[str]) -> list[str]:
     return [f"# tenant: {tenant}", f"# bundles: {' '.join(bundles)}"]
 

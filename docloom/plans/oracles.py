@@ -142,6 +142,11 @@ put(
     f"""x AS (SELECT 1), {FULL.replace("cat AS (", "cat AS (SELECT * FROM (", 1).replace("), con AS (", ") WHERE bundle IN ('geo', 'supply')), con AS (", 1)}""",
     f"SELECT bundle, '# bundle: ' || bundle || chr(10) || concat_ws(chr(9), 'id', 'kind', 'status', 'grain', 'summary', 'links') || chr(10) || string_agg(concat_ws(chr(9), local_id, kind, status, grain, summary, {LINK_CELL}), chr(10) ORDER BY local_id) || chr(10) AS tsv FROM concept GROUP BY bundle",
 )
+put(
+    "serialize_catalog",
+    FULL,
+    f"SELECT bundle, local_id, concat_ws(chr(9), local_id, kind, status, grain, summary, {LINK_CELL}) || chr(10) AS line FROM concept UNION ALL SELECT DISTINCT bundle, '', '# bundle: ' || bundle || chr(10) || concat_ws(chr(9), 'id', 'kind', 'status', 'grain', 'summary', 'links') || chr(10) FROM concept",
+)
 put("serialize_tenant", MANIFEST, f"SELECT bundle, id, {LINE} || chr(10) AS line FROM man")
 put("parse_manifest", MANIFEST, "SELECT id, bundle, kind, status, (CASE WHEN links = '-' THEN 0 ELSE len(string_split(links, ' ')) END)::INT AS n_links FROM man")
 _PRE = f"# tenant: {TENANT}\n# bundles: geo sales supply\n" + "\t".join(["id", "bundle", "kind", "status", "grain", "summary", "links"]) + "\n"
@@ -323,6 +328,8 @@ put("migration_equivalence", f"{CAT}, a AS (SELECT bundle, path, sha256(source)
 put("export_manifest", CAT, "SELECT bundle || '/' || path AS target, octet_length(encode(source))::BIGINT AS bytes, sha256(source) AS hash FROM cat")
 LITTLE = f"{CAT}, little AS (SELECT * FROM cat WHERE bundle IN ('geo', 'supply'))"
 put("scan_bundle", f"{CAT}, {CON}", "SELECT bundle, path, sha256(source) AS hash FROM con WHERE bundle IN ('geo', 'supply')")
+put("scan_catalog", f"{CAT}, {CON}", "SELECT bundle, path, sha256(source) AS hash FROM con")
 put("put_idempotent", LITTLE, f"SELECT 0::BIGINT AS attempt, false AS reused, {_digest('cat')} AS digest UNION ALL SELECT 1, true, {_digest('cat')} UNION ALL SELECT 2, false, {_digest('little')}")
 put("commit_chain", LITTLE, "SELECT d::BIGINT AS depth, true AS follows, (SELECT count(*) FROM little WHERE d <> 1 OR bundle = 'geo')::BIGINT AS n_documents FROM (VALUES (0), (1), (2)) v(d)")
+put("commit_catalog", CAT, "SELECT d::BIGINT AS depth, true AS follows, (SELECT count(*) FROM cat WHERE d <> 1 OR bundle <> 'supply')::BIGINT AS n_documents FROM (VALUES (0), (1), (2)) v(d)")
 put("transact", f"{LOG}, {_state('now')}", "SELECT * FROM now")

@@ -244,6 +244,12 @@ def serialize(spark, sf_dir):
     return C.serialize_bundle(C.compile_documents(catalog(spark, sf_dir).filter(F.col("bundle").isin("geo", "supply"))))
 
 
+@query
+def serialize_catalog(spark, sf_dir):
+    """``serialize`` of every bundle, as ordered lines."""
+    return C.bundle_lines(concepts(spark, sf_dir))
+
+
 @query
 def serialize_tenant(spark, sf_dir):
     rows = C.manifest(concepts(spark, sf_dir), TODAY)
@@ -594,15 +600,25 @@ def small_bundles(spark, sf_dir) -> DataFrame:
     return catalog(spark, sf_dir).filter(F.col("bundle").isin("geo", "supply"))
 
 
-@query
-def scan_bundle(spark, sf_dir):
+def scanned(spark, docs: DataFrame) -> DataFrame:
     store = engine(spark)
-    store.put(small_bundles(spark, sf_dir))
+    store.put(docs)
     folder = f"{store.home}/exported"
     store.export_folder(folder)
     return markdown.read_folder(spark, folder, navigation=False).select("bundle", "path", T.content_hash(F.col("source")).alias("hash")).orderBy("bundle", "path")
 
 
+@query
+def scan_bundle(spark, sf_dir):
+    return scanned(spark, small_bundles(spark, sf_dir))
+
+
+@query
+def scan_catalog(spark, sf_dir):
+    """``scan_bundle`` of every bundle."""
+    return scanned(spark, catalog(spark, sf_dir))
+
+
 @query
 def put_idempotent(spark, sf_dir):
     store = engine(spark)
@@ -611,10 +627,9 @@ def put_idempotent(spark, sf_dir):
     return spark.createDataFrame(rows, "attempt long, reused boolean, digest string")
 
 
-@query
-def commit_chain(spark, sf_dir):
+def committed(spark, docs: DataFrame) -> DataFrame:
     store = engine(spark)
-    store.put(small_bundles(spark, sf_dir))
+    store.put(docs)
     store.delete_bundle("supply")
     first = store.history()["revisions"][-1]["revision"]
     store.restore(first, store.head()["revision"])
@@ -623,6 +638,17 @@ def commit_chain(spark, sf_dir):
     return spark.createDataFrame(rows, "depth long, follows boolean, n_documents long")
 
 
+@query
+def commit_chain(spark, sf_dir):
+    return committed(spark, small_bundles(spark, sf_dir))
+
+
+@query
+def commit_catalog(spark, sf_dir):
+    """``commit_chain`` over every bundle."""
+    return committed(spark, catalog(spark, sf_dir))
+
+
 @query
 def transact(spark, sf_dir):
     """The log's later half in transactions of at most ``X.MAX_CHANGES`` changes, each naming the hash it replaces, on top of its first half."""
