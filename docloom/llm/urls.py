@@ -2,7 +2,7 @@
 
 Rules come first: a rule names a host and the start of a path and fits the host and its subdomains; the longest fitting
 rule decides. Every other url is decided by gradient-boosted trees over lexical features: lengths, depth, digit ratio, entropy, parameters,
-and how often urls of its suffix are blocked. The trees are fitted on at most ``TRAIN_ROWS`` urls that rules have labelled, drawn
+and how often urls of its suffix are blocked. The trees are fitted on at most ``TRAIN_ROWS`` distinct urls that rules have labelled, drawn
 by hash (the fit itself runs on that sample on the driver), and are scored as one SQL expression.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule, and is judged by the trees like any
@@ -44,7 +44,7 @@ def _count(text: Column, what: str) -> Column:
 
 
 def lexical(pages: DataFrame) -> DataFrame:
-    """``page_id, host, path, rule, ruled, suffix`` and the lexical features of every url."""
+    """``page_id, u, host, path, rule, ruled, suffix`` and the lexical features of every url."""
     url = F.coalesce(F.col("url"), F.lit(""))
     host, path = parts_of(F.col("url"))
     base = pages.select("page_id", url.alias("u"), host.alias("host"), path.alias("path"))
@@ -66,7 +66,13 @@ def lexical(pages: DataFrame) -> DataFrame:
         "n_parameters": F.when(query == "", 0).otherwise(_count(query, "&") + 1),
         "has_fragment": F.col("u").contains("#").cast("int"),
     }
-    return base.select("page_id", "host", "path", name.alias("rule"), verdict.alias("ruled"), F.substring_index("host", ".", -1).alias("suffix"), F.xxhash64("u").alias("draw"), *[c.cast("double").alias(k) for k, c in columns.items()])
+    return base.select("page_id", "u", "host", "path", name.alias("rule"), verdict.alias("ruled"), F.substring_index("host", ".", -1).alias("suffix"), F.xxhash64("u").alias("draw"), *[c.cast("double").alias(k) for k, c in columns.items()])
+
+
+def sample_of(urls: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` urls that rules have labelled, each once: all that is learned from a url follows from the url itself."""
+    once = urls.filter(F.col("ruled").isNotNull()).groupBy("u").agg(*[F.first(c).alias(c) for c in ("draw", "ruled", *FEATURES)])
+    return once.orderBy("draw", "u").limit(rows)
 
 
 def judge_urls(pages: DataFrame, *, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -75,7 +81,7 @@ def judge_urls(pages: DataFrame, *, rows: int = TRAIN_ROWS) -> DataFrame:
     blocked = F.coalesce(F.col("ruled") == "block", F.lit(False)).cast("int")
     suffixes = durable(urls.groupBy(F.col("suffix").alias("s")).agg(F.count("*").alias("n"), F.sum(blocked).alias("b")).select("s", ((F.col("b") + 1) / (F.col("n") + 2)).alias("suffix_blocked")), "url-suffixes")
     full = urls.join(small(suffixes, suffixes.count()), F.col("suffix") == F.col("s"))
-    sample = full.filter(F.col("ruled").isNotNull()).select("draw", "page_id", "ruled", *FEATURES).orderBy("draw", "page_id").limit(rows).collect()
+    sample = sample_of(full, rows).collect()
     x = np.array([[r[f] for f in FEATURES] for r in sample], float).reshape(-1, len(FEATURES))
     y = np.array([r["ruled"] == "block" for r in sample], float)
     score = F.lit(0.0)

@@ -403,6 +403,14 @@ def test_url_rules(spark):
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] in ("allow", "block") and verdict in (None, r["verdict"])
 
 
+def test_url_sample_takes_each_url_once(spark):
+    pages = spark.createDataFrame([(i, "http://a.net/x") for i in range(50)] + [(100 + i, f"http://q.org/fr/{i}") for i in range(20)], "page_id long, url string")
+    full = urls.lexical(pages).withColumn("suffix_blocked", F.lit(0.5))
+    held = urls.sample_of(full, 20).collect()
+    assert len({r["u"] for r in held}) == len(held) == 20 and urls.sample_of(full, 99).count() == 21
+    assert sorted(held) == sorted(urls.sample_of(full.repartition(5), 20).collect())
+
+
 def test_native_plans_have_no_python(spark, small):
     for name in ("op2_shard", "op9_url_filter", "op10_decontamination"):
         plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
