@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import durable, scratch_path
 
-__all__ = ["BROADCAST_ROWS", "SPACE_CLASS", "WORD", "ascii_lower", "durable", "input_bytes", "one_text", "parts", "scratch_path", "small", "word_count"]
+__all__ = ["BROADCAST_ROWS", "SPACE_CLASS", "WORD", "ascii_lower", "durable", "input_bytes", "join_counted", "one_text", "parts", "scratch_path", "small", "word_count"]
 
 #: The six ASCII white-space characters of the word rule ``[^\x20\x09-\x0D]+``; bytes.split() uses the same six.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -38,6 +38,21 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def join_counted(rows: DataFrame, told: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rows`` with ``value`` of ``told(*keys, many, value)``, null where it has none. ``many`` counts the rows of a key.
+
+    Up to ``BROADCAST_ROWS`` keys are broadcast; of more keys only the commonest are, at most that many, so that none of them meets in one task.
+    """
+    told = told.select(*keys, "many", value)
+    n, total = told.agg(F.count("*"), F.sum("many")).first()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(told.drop("many")), keys, "left")
+    hot = F.col("many") > total // BROADCAST_ROWS
+    first = rows.join(F.broadcast(told.filter(hot).drop("many")), keys, "left")
+    rest = first.filter(F.col(value).isNull()).drop(value).join(told.filter(~hot).drop("many"), keys, "left")
+    return first.filter(F.col(value).isNotNull()).unionByName(rest)
+
+
 #: Estimates from here on mean that Spark does not know a table's size.
 UNKNOWN = 1 << 50
 

@@ -13,18 +13,24 @@ How it runs:
 4. The others are reduced to one for each equal set, and joined on prefix n-grams: each n-gram's most central
    document with each of the others. Pairs that pass the length and positional filters are verified: a suffix filter, then the exact overlap.
    Only n-grams of two or more documents can be shared, so only those are carried.
-5. Documents that share a prefix n-gram but aren't connected yet are compared block by block: blocks that hold
-   a single component aren't compared with each other, so a large group of near copies costs no square of its size.
-   Every pair of different components within reach is verified once; no partner is capped.
+5. Documents of different components that share a prefix n-gram and weren't tried with its hub are joined on it, split by length band and into
+   pieces of counted size. The join has the length and positional filters and a suffix filter on bitmaps of whole sets; an n-gram's largest
+   component isn't joined with itself, and n-grams that the same documents have are asked once. What is left is verified, once per pair; no partner is capped.
+
+An n-gram in the prefixes of m documents that are not connected costs up to m * m comparisons of two such rows inside generated code. Pairs that the
+filters leave are the only ones that are written.
 
 Defined results: words are lower-cased in A-Z only; a document with fewer words than n is one shingle; null, empty and wordless texts
 have the empty set and link with nothing; rows without an id have a null component and take no part; rows that share an id
-are one document with several sets, which links by each of them; an empty table gives no rows. Sets are compared by 64-bit hashes of n-grams.
+are one document with several sets, which links by each of them; repeated rows are
+returned each; an empty table gives no rows; other columns are ignored, so that their names cannot clash. Sets are compared by 64-bit hashes of n-grams.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +38,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, parts, small
+from .common import BROADCAST_ROWS, durable, join_counted, parts, small
 from .components import components
 
 N = 5
 PERCENT = 80
 GROUP_BYTES = 4 << 20
-BLOCK = 256
+#: Input bytes for each hash range in which n-grams are counted.
+RANGE_BYTES = 16 << 20
+#: Documents of an n-gram that meet in one task, on each side.
+PIECE = 4096
+#: Rows of one id and text from which on they are counted and treated as one.
+REPEATED = 64
+#: 256 bits of a set: whether an odd number of its n-grams fall on each. Sets differ in at least as many n-grams as bits.
+BITS = ["b0", "b1", "b2", "b3"]
 #: Words whose hash a worker remembers before it starts anew.
 REMEMBERED = 300_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -108,12 +121,23 @@ def _prefix_length(n, percent: int):
     return n - (-(-percent * n // 100)) + 1
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, copies``: more than ``REPEATED`` rows equal in both become one, so that they load no task; other rows stay as they are."""
+    row = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    hot = durable(row.groupBy(F.col("doc_id").alias("d"), F.col("hash").alias("h")).count().filter(F.col("count") > REPEATED).select("d", "h", F.lit(True).alias("hot")), "jaccard-repeated")
+    many = hot.count()
+    if not many:
+        return docs.select("doc_id", "text", F.lit(1).cast("long").alias("copies"))
+    marked = row.join(small(hot, many), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("hash").eqNullSafe(F.col("h")), "left")
+    merged = marked.filter("hot").groupBy("doc_id", "hash").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    return marked.filter("hot IS NULL").select("doc_id", "text", F.lit(1).cast("long").alias("copies")).union(merged.select("doc_id", "text", "copies"))
+
+
 def prefixes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """For each document its set size; if it may have partners, also its n-grams that others have and its prefix of those."""
-    size = docs.select("doc_id", "text")
-    groups = parts(size, GROUP_BYTES, least=24)
-    ranges = groups
-    keyed = size.withColumn("gid", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+    docs = docs.select("doc_id", "text", "copies")
+    groups, ranges = parts(docs, GROUP_BYTES, least=24), parts(docs, RANGE_BYTES, least=24)
+    keyed = docs.withColumn("gid", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def ask(table: pa.Table) -> pa.Table:
@@ -154,7 +178,7 @@ def prefixes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         at = np.searchsorted(known, names)
         common = known[at] == names
         rank = ranks[at]
-        out = {k: [None] * len(sizes) for k in ("alone", "sig1", "sig2", "grams", "prefix")}
+        out = {k: [None] * len(sizes) for k in ("alone", "sig1", "sig2", "grams", "prefix", *BITS)}
         end = np.cumsum(sizes)
         shared = np.concatenate(([0], np.cumsum(common)))
         alone = sizes - (shared[end] - shared[end - sizes]) if len(sizes) else sizes
@@ -170,12 +194,15 @@ def prefixes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
             out["alone"][i] = int(alone[i])
             out["sig1"][i], out["sig2"][i] = (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)
             out["grams"][i], out["prefix"][i] = raw, name[order].astype(np.int64).tolist()
-        kinds = {"alone": pa.int64(), "sig1": pa.int64(), "sig2": pa.int64(), "grams": pa.binary(), "prefix": pa.list_(pa.int64())}
-        return pa.table({"doc_id": docs.column("doc_id"), "n": pa.array(sizes, pa.int64())} | {k: pa.array(v, kinds[k]) for k, v in out.items()})
+            odd = np.bincount((h[part] >> np.uint64(24)).astype(np.uint8), minlength=256) & 1
+            for k, bits in zip(BITS, np.packbits(odd.astype(bool), bitorder="little").view(np.int64).tolist(), strict=True):
+                out[k][i] = bits
+        kinds = dict.fromkeys(BITS, pa.int64()) | {"alone": pa.int64(), "sig1": pa.int64(), "sig2": pa.int64(), "grams": pa.binary(), "prefix": pa.list_(pa.int64())}
+        return pa.table({"doc_id": docs.column("doc_id"), "copies": docs.column("copies"), "n": pa.array(sizes, pa.int64())} | {k: pa.array(v, kinds[k]) for k, v in out.items()})
 
     asked = keyed.groupBy("gid").applyInArrow(ask, "range int, gid int, names binary, counts binary")
     said = asked.groupBy("range").applyInArrow(answer, "gid int, range int, names binary, ranks binary")
-    return keyed.groupBy("gid").cogroup(said.groupBy("gid")).applyInArrow(choose, f"doc_id {kind}, n long, alone long, sig1 long, sig2 long, grams binary, prefix array<long>")
+    return keyed.groupBy("gid").cogroup(said.groupBy("gid")).applyInArrow(choose, f"doc_id {kind}, copies long, n long, {', '.join(f'{b} long' for b in BITS)}, alone long, sig1 long, sig2 long, grams binary, prefix array<long>")
 
 
 def _may_reach(a: np.ndarray, b: np.ndarray, need: int, depth: int = 3) -> bool:
@@ -201,47 +228,25 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (t.column(0), t.column(1))], names=["u", "v"])
 
 
-def _compare(table: pa.Table, percent: int) -> pa.Table:
-    """The links between documents of two blocks, or within one, that are of different components."""
-    side = np.array(table.column("side").to_pylist())
-    node, n, comp = (table.column(c).to_numpy() for c in ("node", "n", "comp"))
-    sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-    left = np.flatnonzero(side != 1)
-    right = left if (side == 2).any() else np.flatnonzero(side == 1)
-    found: list[tuple[int, int]] = []
-    if len(left) and len(right):
-        grams = np.concatenate([sets[j] for j in right])
-        owner = np.repeat(np.arange(len(right)), [len(sets[j]) for j in right])
-        order = np.argsort(grams, kind="stable")
-        grams, owner = grams[order], owner[order]
-        size, other = n[right], comp[right]
-        for i in left:
-            low, high = np.searchsorted(grams, sets[i], "left"), np.searchsorted(grams, sets[i], "right")
-            many = high - low
-            at = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-            overlap = np.bincount(owner[at], minlength=len(right))
-            fits = (other != comp[i]) & (100 * np.minimum(size, n[i]) >= percent * np.maximum(size, n[i]))
-            for j in np.flatnonzero(fits & (overlap >= _least_overlap(size, n[i], percent)) & (overlap > 0)):
-                found.append((int(node[i]), int(node[right[j]])))
-    return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([y for _, y in found], pa.int64())})
-
-
 def similarity_components(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``; doc_id is a whole number."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = durable(prefixes(docs, n, percent), "jaccard-prefixes")
+    table = durable(prefixes(once(docs), n, percent), "jaccard-prefixes")
     able = table.filter(F.col("prefix").isNotNull() & F.col("doc_id").isNotNull())
-    classes = able.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("node"))
+    one = ["n", "sig1", "sig2"]
+    classes = durable(able.groupBy(*one).agg(F.min("doc_id").alias("node"), F.count("*").alias("many")).filter("many > 1"), "jaccard-classes")
+    shared = durable(table.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("many")).filter("many > 1"), "jaccard-shared")
+    n_shared = shared.count()
+
     # A set is named by its class's smallest id and sig1: an id that several rows share may be the smallest of several classes.
-    one = ["node", "n", "sig1", "sig2"]
-    nodes = durable(able.withColumnRenamed("doc_id", "node").join(classes.select(*one), one, "left_semi").dropDuplicates(["node", "sig1", "sig2"]).select("node", "sig1", "n", "alone", "grams", "prefix"), "jaccard-nodes")
-    shared = durable(table.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("shared")).count().filter("count > 1").select("shared"), "jaccard-shared")
-    shared = small(shared, shared.count())
-    same = able.join(shared, F.col("doc_id") == F.col("shared")).join(classes, ["n", "sig1", "sig2"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    placed = join_counted(able.select("doc_id", *one), classes, one, "node").withColumn("node", F.coalesce("node", "doc_id"))
+    other = durable(placed.filter("node <> doc_id").select("doc_id", "sig1", "sig2").distinct(), "jaccard-copies")
+    nodes = able.join(small(other, other.count()), ["doc_id", "sig1", "sig2"], "left_anti").withColumnRenamed("doc_id", "node")
+    nodes = durable((nodes.dropDuplicates(["node", "sig1", "sig2"]) if n_shared else nodes).select("node", "sig1", "n", "alone", "grams", "prefix", *BITS), "jaccard-nodes")
 
     entry = F.posexplode("prefix").alias("at", "name")
     postings = nodes.select("node", "sig1", "n", "alone", entry).select("name", "node", "sig1", "n", "alone", (F.col("alone") + F.col("at")).alias("at"))
-    stats = postings.groupBy("name").agg(F.min(F.struct("alone", "n", "node", "sig1", "at")).alias("hub"), F.count("*").alias("many")).filter("many > 1")
+    stats = postings.groupBy("name").agg(F.min(F.struct("alone", "n", "node", "sig1", "at")).alias("hub"), F.count("*").alias("many")).filter("many > 1").drop("many")
     reached = durable(postings.join(stats, "name").select("name", "node", "sig1", "n", "at", "hub"), "jaccard-postings")
     a, b = F.col("n"), F.col("hub.n")
     pairs = (
@@ -250,52 +255,90 @@ def similarity_components(docs: DataFrame, *, n: int = N, percent: int = PERCENT
         .agg(F.first(b).alias("n1"), F.first(a).alias("n2"), F.min("hub.at").alias("at1"), F.min("at").alias("at2"))
         .filter((100 + percent) * F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) >= percent * (F.col("n1") + F.col("n2")))
     )
-    sets = lambda name, sig, set_name: nodes.select(F.col("node").alias(name), F.col("sig1").alias(sig), F.col("grams").alias(set_name))
-    joined = pairs.join(sets("x", "sx", "set1"), ["x", "sx"]).join(sets("y", "sy", "set2"), ["y", "sy"]).select("x", "y", "n1", "n2", "set1", "set2")
-    links = durable(joined.mapInArrow(lambda it: _verify(it, percent), "u long, v long").union(same), "jaccard-links")
+    pairs = durable(pairs.select("x", "sx", "y", "sy", "n1", "n2"), "jaccard-pairs")
+    same = placed.join(small(shared.select("doc_id"), n_shared), "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    links = durable(_verified(pairs, nodes, percent).union(same), "jaccard-links")
     labels = durable(components(links), "jaccard-labels")
 
-    more = durable(_across(nodes, reached, labels, percent), "jaccard-links")
-    if more.limit(1).count():
-        labels = durable(components(links.union(more)), "jaccard-labels")
+    rest = candidates(nodes, reached, labels, percent)
+    if rest is not None:
+        ordered = lambda f: f(F.struct(F.col("x").alias("id"), F.col("sx").alias("sig")), F.struct(F.col("y").alias("id"), F.col("sy").alias("sig")))
+        tried = pairs.select(ordered(F.least).alias("a"), ordered(F.greatest).alias("b")).select(F.col("a.id").alias("x"), F.col("a.sig").alias("sx"), F.col("b.id").alias("y"), F.col("b.sig").alias("sy"))
+        rest = durable(rest.join(tried, ["x", "sx", "y", "sy"], "left_anti"), "jaccard-pairs")
+        more = durable(_verified(rest, nodes, percent), "jaccard-links")
+        if more.limit(1).count():
+            labels = durable(components(links.union(more)), "jaccard-labels")
+    return _told(table, classes, shared, labels)
+
 
-    found = able.select("doc_id", "n", "sig1", "sig2").join(classes, ["n", "sig1", "sig2"]).join(labels.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left")
-    # rows without partners of their own may share an id with rows that have some
-    told = durable(labels.join(shared, F.col("node") == F.col("shared"), "left_semi"), "jaccard-told")
-    rest = table.filter(F.col("prefix").isNull() | F.col("doc_id").isNull()).join(small(told, told.count()), F.col("doc_id") == F.col("node"), "left")
-    rest = rest.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
-    out = rest.union(found.select("doc_id", "n", F.coalesce("label", "node")))
-    return out.select("doc_id", "n_shingles", "component_id")
+def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs(x, sx, y, sy, n1, n2)`` that link. The side that many pairs share is joined last, when rows are wide enough for Spark to split its key."""
+    sets = lambda name, sig, set_name: nodes.select(F.col("node").alias(name), F.col("sig1").alias(sig), F.col("grams").alias(set_name))
+    joined = pairs.join(sets("y", "sy", "set2"), ["y", "sy"]).join(sets("x", "sx", "set1"), ["x", "sx"]).select("x", "y", "n1", "n2", "set1", "set2")
+    return joined.mapInArrow(lambda it: _verify(it, percent), "u long, v long")
 
 
-def _across(nodes: DataFrame, reached: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links between documents that share a prefix n-gram but are of different components so far."""
-    comp = reached.select("name", "node", "sig1").join(labels.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left").select("name", "node", "sig1", F.coalesce("label", "node").alias("comp"))
+def candidates(nodes: DataFrame, reached: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
+    """Pairs of different components that share a prefix n-gram, each once, ``x`` before ``y``; but for those with an n-gram's hub, which were tried.
+
+    Of n-grams that the same documents have only the first in order is asked. An n-gram's largest component is never compared with itself;
+    its other documents meet all in length bands, cut into pieces of counted size. Length, positional and bitmap filters are part of the join.
+    """
+    found = F.broadcast if labels.count() <= BROADCAST_ROWS else (lambda df: df)
+    comp = reached.join(found(labels.withColumnRenamed("node", "l")), F.col("node") == F.col("l"), "left").select("name", "node", "sig1", "n", "at", ((F.col("node") == F.col("hub.node")) & (F.col("sig1") == F.col("hub.sig1"))).alias("is_hub"), F.coalesce("label", "node").alias("comp"))
     comp = durable(comp, "jaccard-open")
-    mixed = comp.groupBy("name").agg(F.min("node").alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("name", "hub")
-    near = comp.join(mixed, "name")
-    closure = components(near.select(F.col("node").alias("u"), F.col("hub").alias("v")))
-    area = durable(near.select("node", "sig1", "comp").distinct().join(closure.withColumnRenamed("label", "area"), "node"), "jaccard-areas")
-
-    # blocks: components of more than BLOCK documents have their own, the others of an area share some
-    sizes = area.groupBy("area", "comp").agg(F.count("*").alias("size"))
-    little = sizes.filter(F.col("size") <= BLOCK).groupBy("area").agg(F.sum("size").alias("small"))
-    sizes = sizes.join(little, "area", "left")
-    whole = F.col("size") > BLOCK
-    cut = lambda x: F.ceil(x / BLOCK)
-    home = F.when(whole, F.struct(F.col("comp").alias("own"), F.pmod(F.xxhash64("node", "sig1"), cut(F.col("size"))).alias("i"))).otherwise(
-        F.struct(F.lit(None).cast("long").alias("own"), F.pmod(F.xxhash64("comp"), cut(F.col("small"))).alias("i"))
+    h = F.xxhash64("node", "sig1")
+    per = comp.groupBy("name", "comp").agg(F.count("*").alias("many"), F.bit_xor(h).alias("mark"), F.sum(F.pmod(F.xxhash64("node", "sig1", F.lit(1)), F.lit(1 << 31))).alias("total"), F.sum("at").alias("at"))
+    names = per.groupBy("name").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by("comp", F.struct("many", "comp")).alias("main"), F.max("many").alias("most"), F.sum("many").alias("many"), F.bit_xor("mark").alias("mark"), F.sum("total").alias("total"), F.sum("at").alias("at")
+    )
+    pieces = lambda count: F.ceil(count / PIECE).cast("int")
+    first = names.filter("low < high").groupBy("many", "mark", "total").agg(F.min_by(F.struct("name", "main", "most"), F.struct("at", "name")).alias("of"))
+    first = durable(first.select("of.name", "of.main", pieces(F.col("many") - F.col("of.most")).alias("lefts"), pieces(F.col("many")).alias("rights")), "jaccard-mixed")
+    many = first.count()
+    if not many:
+        return None
+    near = comp.join(small(first, many), "name").join(nodes.select("node", "sig1", *BITS), ["node", "sig1"])
+    near = durable(near.select("name", "node", "sig1", "n", "at", "is_hub", "comp", (F.col("comp") == F.col("main")).alias("is_main"), "lefts", "rights", *BITS), "jaccard-near")
+    band = F.floor(F.log("n") / (1.0001 * max(math.log(100 / percent), 0.01))).cast("int")
+    own = ["node", "sig1", "n", "at", "is_hub", "comp", *BITS]
+    upto = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = near.filter("NOT is_main").select("name", band.alias("band"), F.pmod(h, F.col("lefts")).cast("int").alias("i"), upto("rights").alias("j"), *own)
+    right = near.select("name", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.pmod(F.xxhash64("sig1", "node"), F.col("rights")).cast("int").alias("j"), "lefts", "is_main", *own)
+    right = right.select("name", "band", upto("lefts").alias("i"), "j", "is_main", *[F.col(c).alias(f"r_{c}") for c in own])
+    c = {k: (F.col(k), F.col(f"r_{k}")) for k in own}
+    both = c["n"][0] + c["n"][1]
+    differ = sum((F.bit_count(c[k][0].bitwiseXOR(c[k][1])) for k in BITS), F.lit(0))
+    fits = (
+        (c["comp"][0] != c["comp"][1])
+        & (F.col("is_main") | (c["node"][0] < c["node"][1]))
+        & ~(c["is_hub"][0] | c["is_hub"][1])
+        & (100 * F.least(*c["n"]) >= percent * F.greatest(*c["n"]))
+        & ((100 + percent) * F.least(c["n"][0] - c["at"][0], c["n"][1] - c["at"][1]) >= percent * both)
+        & ((100 + percent) * differ <= (100 - percent) * both)
     )
-    homed = area.join(sizes, ["area", "comp"]).select("area", "node", "sig1", "comp", home.alias("block"))
-    homed = durable(homed, "jaccard-homes")
-    blocks = homed.select("area", "block").distinct()
-    other = blocks.select(F.col("area").alias("area2"), F.col("block").alias("block2"))
-    pure = F.col("block.own").isNotNull() & (F.col("block.own") == F.col("block2.own"))
-    order = lambda c: F.struct(F.coalesce(F.col(f"{c}.own"), F.lit(-(1 << 63))), F.col(f"{c}.i"))
-    tasks = blocks.join(other, (F.col("area") == F.col("area2")) & (order("block") <= order("block2")) & ~F.coalesce(pure, F.lit(False)))
-    same = order("block") == order("block2")
-    task = F.xxhash64("area", order("block"), order("block2")).alias("task")
-    sides = tasks.select("area", task, F.explode(F.when(same, F.array(F.struct(F.col("block"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("block"), F.lit(0).alias("side")), F.struct(F.col("block2").alias("block"), F.lit(1).alias("side"))))).alias("e"))
-    sides = sides.select("area", "task", order("e.block").alias("b"), "e.side")
-    work = homed.withColumn("b", order("block")).join(sides, ["area", "b"]).select("task", "side", "node", "sig1", "comp").join(nodes.select("node", "sig1", "n", "grams"), ["node", "sig1"])
-    return work.groupBy("task").applyInArrow(lambda t: _compare(t, percent), "u long, v long")
+    met = left.join(right, ["name", "band", "i", "j"]).filter(fits)
+    ends = [F.struct(c["node"][k].alias("id"), c["sig1"][k].alias("sig"), c["n"][k].alias("n")) for k in (0, 1)]
+    met = met.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
+    return met.select(F.col("a.id").alias("x"), F.col("a.sig").alias("sx"), F.col("b.id").alias("y"), F.col("b.sig").alias("sy"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2")).distinct()
+
+
+def _told(table: DataFrame, classes: DataFrame, shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every row with its component: of its id if rows share that, of its class if it has one, else its own."""
+    rows = table.select("doc_id", F.col("n").alias("n_shingles"), "n", "sig1", "sig2", "copies")
+    told = [rows.filter("doc_id IS NULL").withColumn("component_id", F.col("doc_id"))]
+    rows = rows.filter("doc_id IS NOT NULL")
+    own = labels.withColumnsRenamed({"node": "l"})
+    if shared.limit(1).count():
+        of_id = durable(shared.join(own, F.col("doc_id") == F.col("l"), "left").select("doc_id", "many", F.coalesce("label", "doc_id").alias("component_id")), "jaccard-told")
+        rows = join_counted(rows, of_id, ["doc_id"], "component_id")
+        told.append(rows.filter("component_id IS NOT NULL"))
+        rows = rows.filter("component_id IS NULL").drop("component_id")
+    told.append(rows.filter("sig1 IS NULL").withColumn("component_id", F.col("doc_id")))
+    of_class = durable(classes.join(own, F.col("node") == F.col("l"), "left").select("n", "sig1", "sig2", "many", F.coalesce("label", "node").alias("component_id")), "jaccard-told")
+    rows = join_counted(rows.filter("sig1 IS NOT NULL"), of_class, ["n", "sig1", "sig2"], "component_id")
+    told.append(rows.filter("component_id IS NOT NULL"))
+    alone = rows.filter("component_id IS NULL").drop("component_id").join(own, F.col("doc_id") == F.col("l"), "left")
+    told.append(alone.withColumn("component_id", F.coalesce("label", "doc_id")))
+    out = reduce(DataFrame.unionAll, [t.select("doc_id", "n_shingles", "component_id", "copies") for t in told])
+    return out.select("doc_id", "n_shingles", "component_id", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")

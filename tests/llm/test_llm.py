@@ -214,8 +214,9 @@ def test_similarity_components_equal_brute_force(spark):
     assert got == brute_components(rows)
 
 
-def test_large_group_of_near_copies_is_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
+@pytest.mark.parametrize("piece", [4096, 8])
+def test_large_group_of_near_copies_equals_brute_force(spark, monkeypatch, piece):
+    monkeypatch.setattr(jaccard, "PIECE", piece)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -228,6 +229,41 @@ def test_large_group_of_near_copies_is_compared_in_blocks(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def component_rows(spark, rows):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+@pytest.mark.parametrize("piece", [4096, 4])
+def test_a_passage_in_all_documents_equals_brute_force(spark, monkeypatch, piece):
+    """Boilerplate of four fifths to nine tenths of each document, so that its n-grams fill prefixes while some pairs link and others don't."""
+    monkeypatch.setattr(jaccard, "PIECE", piece)
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"u{rng.randrange(12)}" for _ in range(rng.choice([5, 6, 7, 8, 9, 14])))) for i in range(120)]
+    assert component_rows(spark, rows) == brute_components(rows)
+
+
+def test_documents_of_passages_from_a_pool_equal_brute_force(spark):
+    rng = random.Random(4)
+    pool = [" ".join(f"q{k}-{i}" for i in range(40)) for k in range(12)]
+    rows = [(i, " ".join(rng.sample(pool, 3)) + (f" own{i}" if i % 3 else "")) for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(0, 60, 2)]
+    assert component_rows(spark, rows) == brute_components(rows)
+
+
+def test_repeated_rows_and_many_classes(spark, monkeypatch):
+    from docloom.llm import common
+
+    monkeypatch.setattr(jaccard, "REPEATED", 3)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(30))
+    rows = [(1, text("a"))] * 50 + [(None, text("a"))] * 20 + [(None, None)] * 9 + [(2, text("a"))] * 2 + [(2, text("b"))] + [(k, text(k % 7)) for k in range(10, 60)] + [(90, text("a") + " x"), (91, text("lone"))]
+    got = jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, 0 if t is None else len(t.split()) - 4, None if i is None else 1 if i in (1, 2, 90) else 10 + (i - 10) % 7 if i < 60 else i) for i, t in rows]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
 def test_rows_that_share_an_id_link_by_each_of_their_texts(spark):
     rng = random.Random(11)
     text = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
