@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import durable, scratch_path
 
-__all__ = ["BROADCAST_ROWS", "SPACE_CLASS", "WORD", "ascii_lower", "durable", "input_bytes", "join_counted", "one_text", "parts", "scratch_path", "small", "word_count"]
+__all__ = ["BROADCAST_ROWS", "SPACE_CLASS", "WORD", "ascii_lower", "durable", "input_bytes", "join_counted", "one_text", "parts", "scratch_path", "small", "table_bytes", "word_count"]
 
 #: The six ASCII white-space characters of the word rule ``[^\x20\x09-\x0D]+``; bytes.split() uses the same six.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -16,6 +16,8 @@ A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows up to which a table may be broadcast once they have been counted.
 BROADCAST_ROWS = 100_000
+#: Bytes up to which such a table may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -33,9 +35,27 @@ def one_text() -> Column:
     return F.min_by("text", F.xxhash64("text")).alias("text")
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if its counted ``rows`` stay within ``limit``; else a shuffled join is left to Spark."""
-    return F.broadcast(df) if rows <= limit else df
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the values of ``df``, counted: eight for a number, texts and arrays by their length."""
+    size = F.lit(0).cast("long")
+    for c, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size += F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) + 8
+        elif kind == "array<string>":
+            size += F.coalesce(F.octet_length(F.array_join(F.col(f"`{c}`"), "")) + 16 * F.size(F.col(f"`{c}`")), F.lit(0)) + 8
+        elif kind.startswith("array"):
+            size += F.coalesce(16 * F.size(F.col(f"`{c}`")), F.lit(0)) + 8
+        else:
+            size += F.lit(8)
+    return df.agg(F.sum(size)).first()[0] or 0
+
+
+def small(df: DataFrame, rows: int, limit: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if its counted ``rows`` and bytes stay within bounds; else a shuffled join is left to Spark."""
+    if rows > (BROADCAST_ROWS if limit is None else limit):
+        return df
+    numbers = all(kind in ("tinyint", "smallint", "int", "bigint", "double", "float", "boolean", "date", "timestamp") for _, kind in df.dtypes)
+    return F.broadcast(df) if numbers or table_bytes(df) <= BROADCAST_BYTES else df
 
 
 def join_counted(rows: DataFrame, told: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Benchmark decontamination by a prefix-filtered set join (native: DataFrame functions only).
 
 A window is ``WINDOW`` consecutive words of a benchmark item, or the whole of a shorter item. To contain a window a document
-must contain all its words, so one is necessary: its prefix, with words ordered from rare to common over all
-documents, is its rarest word. The windows of an item share few such anchors. A document's words are joined with the anchors;
+must contain all its words: the containment asked for is 100 %, and the prefix of a set of k tokens that must share k of them is one token, its
+first from rare to common. Shingles of a whole window are compared by their rarest word, as counted over all documents, not by a rank of their own: a window that
+occurs is at most as common as that word. The windows of an item share few such anchors. A document's words are joined with the anchors;
 a match must agree in a neighbour of the anchor (length bound), is laid against the item's words at the anchor's position
 (positional bound), and is verified word by word to both sides: the run of equal words around the anchor holds a window if it is as long as one.
 
@@ -79,11 +80,11 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
     before, after = F.when(F.col("i") > 0, F.get("a", F.col("i") - 1)), F.get("a", F.col("i") + 1)
     left = F.reverse(F.slice("a", F.greatest(F.lit(1), F.col("i") - window + 2), F.least(F.col("i"), F.lit(window - 1))))
     right = F.slice("a", F.col("i") + 2, window - 1)
-    if table.count() > BROADCAST_ROWS:
+    counted = small(table, table.count(), BROADCAST_ROWS)
+    if counted is table:
         stream = stream.select("doc_id", "text_hash", "i", "w", "key", before.alias("w1"), after.alias("w2"), left.alias("l"), right.alias("r"))
         before, after, left, right = (F.col(c) for c in ("w1", "w2", "l", "r"))
-    else:
-        table = F.broadcast(table)
+    table = counted
     likely = (F.col("length") == 1) | near(before, F.col("before")) | near(after, F.col("after"))
     matched = stream.join(table, "key").filter(likely)
     # Candidates carry the words around the anchor, not the document. They are written before they are verified: verification
@@ -102,11 +103,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     named = found.groupBy(*one).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     named = named.withColumnsRenamed({"doc_id": "d2", "text_hash": "t2"})
     hit = hits.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}).join(named, F.col("d").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2")))
-    hit = durable(hit.select("d", "t", "n_hit", "items"), "decontam-documents")
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    hit = durable(hit.select("d", "t", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("digest")), "decontam-documents")
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), n_pieces(pieces(F.col("text"))).alias("n_words"))
     joined = base.join(small(hit, hit.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
-    n_hit, which = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(which).cast("long").alias("n_items"), F.sha2(F.array_join(which, ",").cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), "text_hash")
+    n_hit, none = F.coalesce("n_hit", F.lit(0)).cast("long"), F.sha2(F.lit("").cast("binary"), 256)
+    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("digest", none).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), "text_hash")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, **how) -> DataFrame:

@@ -4,8 +4,10 @@ Every document gets a hash-random key. Documents are range-sorted by that key wi
 counts are summed along that order, and each source is cut at its exact budget; a budget beyond the source
 repeats whole epochs first.
 
-No source lies in one task: the key space of a source is cut into ranges of a few hundred documents, the sums
-of the ranges give every range its offset, and only documents of one range are sorted together.
+No source lies in one task: the key space of a source is cut into ranges of ``RANGE_ROWS`` documents (up to ``MAX_RANGES`` ranges, 2 million
+documents; beyond, ranges of narrow rows grow in proportion), the sums of the ranges give every range its offset, and only
+documents of one range are sorted together. Rows equal in key, source and size are counted first, so that a repeated or missing key loads no
+range. Only the table of sources, one row each, is sorted as a whole.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in the order; repeated rows
 each count (rows equal in key, id and size are interchangeable); an empty table gives no rows; other columns of
@@ -71,27 +73,29 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", size: C
     sources = durable(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), **rule), "mix-sources")
     n_sources = sources.count()
 
+    once = sized.groupBy("k", "source", "size").agg(F.count("*").alias("rows"))
     tag = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("k").cast("string"), F.lit("")))).alias("tag")
     at = F.conv(F.substring("tag", 1, 8), 16, 10).cast("long")
     n_ranges = F.least(F.lit(MAX_RANGES), F.ceil(F.col("n_docs") / RANGE_ROWS))
     planned = small(sources.select(F.col("source").alias("s"), "source_size", "target", n_ranges.alias("n_ranges")), n_sources)
     keyed = (
-        sized.select("*", tag)
+        once.select("*", tag)
         .join(planned, F.col("source").eqNullSafe(F.col("s")))
         .withColumn("range", F.shiftright(at * F.col("n_ranges"), 32))
         .drop("s", "n_ranges")
     )
     # prefix sums: over the ranges of a source, then within a range
     by_source = Window.partitionBy("rs").orderBy("rr").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy(F.col("source").alias("rs"), F.col("range").alias("rr")).agg(F.sum("size").alias("in_range")).select("rs", "rr", F.coalesce(F.sum("in_range").over(by_source), F.lit(0)).alias("offset"))
+    offsets = keyed.groupBy(F.col("source").alias("rs"), F.col("range").alias("rr")).agg(F.sum(F.col("size") * F.col("rows")).alias("in_range")).select("rs", "rr", F.coalesce(F.sum("in_range").over(by_source), F.lit(0)).alias("offset"))
     in_range = Window.partitionBy("source", "range").orderBy("tag", "k", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = keyed.withColumn("upto", F.sum("size").over(in_range)).join(offsets, F.col("source").eqNullSafe(F.col("rs")) & (F.col("range") == F.col("rr")))
+    placed = keyed.withColumn("upto", F.sum(F.col("size") * F.col("rows")).over(in_range)).join(offsets, F.col("source").eqNullSafe(F.col("rs")) & (F.col("range") == F.col("rr")))
 
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
-    start = F.col("offset") + F.col("upto") - F.col("size")
+    start = F.col("offset") + F.col("upto") - F.col("size") * F.col("row")  # equal rows lie one after the other
     return (
-        placed.select("*", epochs.cast("long").alias("epochs"), start.alias("start"))
+        placed.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+        .select("*", epochs.cast("long").alias("epochs"), start.alias("start"))
         .withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
         .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start"))).cast("long"))
         .select(F.col("k").alias(key), "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), "start", "rest")

@@ -111,12 +111,11 @@ FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id GROUP BY d.doc_id,
 
 ORACLE_SQL["op6_chat"] = r"""
 WITH t AS (
-  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS seq
-  FROM conversations WHERE conv_id IS NOT NULL),
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role)::VARCHAR || ':' || role || text)) - 1 AS seq
+  FROM (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
 p AS (
   SELECT *, count(*) OVER (PARTITION BY conv_id) AS n_turns,
-         string_agg(role || chr(31) || text, chr(30)) OVER (PARTITION BY conv_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS prefix
+         list([role, text]) OVER (PARTITION BY conv_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS prefix
   FROM t),
 whole AS (SELECT min(conv_id) AS conv_id, prefix, n_turns FROM p WHERE seq = n_turns - 1 GROUP BY prefix, n_turns),
 kept AS (SELECT conv_id FROM whole w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.prefix = w.prefix AND p.seq < p.n_turns - 1))

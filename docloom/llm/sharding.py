@@ -4,8 +4,10 @@ The rows are dealt into cells. How many rows of each cell go to each shard is dr
 multivariate hypergeometric law of a uniform shuffle, so that every shard gets its exact size. Rows are permuted
 within their cell, sent to the shards that the matrix names, and permuted again there.
 
-Neither a cell nor the sort inside a shard grows with the input: cells are blocks of rows of the staged table (so a
-key or text that many rows share is spread), and a shard is ordered range by range of a random key with counted offsets.
+No cell and no sort takes a whole shard or key: cells are blocks of rows of the staged table (so a
+key or text that many rows share is spread), and a shard is ordered range by range of a random key with counted offsets. A cell has about ``CELL_ROWS``
+rows up to ``MAX_CELLS`` cells (33 million rows) and grows in proportion beyond, a range likewise up to ``MAX_RANGES`` ranges a shard;
+what is sorted there are rows of some forty bytes.
 
 Defined results: null texts have no bytes (size 8, checksum 0); equal rows are separate rows; an empty table gives no
 rows; the draw depends on the seed and on the order of the input files. A lost executor changes nothing: the staged
@@ -16,8 +18,9 @@ from __future__ import annotations
 
 import math
 import random
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path
@@ -77,6 +80,13 @@ def communication_matrix(cells: list[int], shards: list[int], seed: int = SEED)
     return matrix
 
 
+def matrix_table(spark: SparkSession, matrix: list[list[int]]) -> DataFrame:
+    """``cell, ends``: the running sums of each row of the matrix, read by SQL functions from one literal."""
+    text = ";".join(",".join(map(str, accumulate(row))) for row in matrix)
+    rows = spark.range(1).select(F.posexplode(F.split(F.lit(text), ";")).alias("cell", "row"))
+    return rows.select("cell", F.split("row", ",").cast("array<long>").alias("ends"))
+
+
 def text_columns(text: Column) -> list[Column]:
     """Size and checksum of a text."""
     raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
@@ -109,8 +119,7 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, *, seed: int = SE
 
     counts = dict(staged.select(cell.alias("cell")).groupBy("cell").count().collect())
     matrix = communication_matrix([counts.get(c, 0) for c in range(n_cells)], shard_sizes(n, shards), seed)
-    ends = [[sum(row[: s + 1]) for s in range(shards)] for row in matrix]
-    cuts = spark.createDataFrame(list(enumerate(ends)), "cell int, ends array<long>")  # n_cells <= MAX_CELLS rows
+    cuts = matrix_table(spark, matrix)  # n_cells <= MAX_CELLS rows
 
     draw = lambda salt: F.xxhash64(F.lit(seed + salt), F.col("file"), F.col("piece"), F.col("row"))
     in_cell = Window.partitionBy("cell").orderBy("draw", *spot)

@@ -1,14 +1,16 @@
 """Token counts with a whole-token shortcut.
 
-Byte-level BPE works on pre-tokens. Offline (once for each vocabulary file) every vocabulary string is put
-through the library on its own; those that come back as one token are proven whole. Counting a text is then a lookup
-for each pre-token; only pre-tokens that aren't proven are merged, by the library's own model, and remembered.
+Byte-level BPE works on pre-tokens. Offline (once for each vocabulary file, on the driver, before any text is read) every vocabulary string is
+put through the library on its own; those that come back as one token are proven whole, and their table is shipped to the workers. Counting a
+text is then a lookup for each pre-token; only pre-tokens that aren't proven are merged, by the library's own model, and remembered.
 
 Strings of special tokens inside a text are one token each, as the library counts them by default, so texts are cut there
-first. The pre-token pattern is vouched for on common Latin, punctuation and the characters of ``SAFE``; a text
-with any other character is counted by the library itself.
+first. The pre-token pattern is vouched for on common Latin, punctuation and the characters of ``SAFE``. A text with any other
+character is cut before blanks that follow a visible ASCII character, where a pre-token ends in any case; the pieces that hold such a
+character are counted by the library, the others as above.
 
-Defined results: null and empty texts have no tokens; repeated rows are counted each; an empty table gives no rows.
+Defined results: null and empty texts have no tokens; repeated rows are counted each; an empty table gives no rows; other columns are ignored,
+so that their names cannot clash.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 SAFE = regex.compile(r"[\x00-\x1b\x20-\x84\x86-ǿ‐-‧‰-‾₠-₿]*")
 
 
+#: Where a pre-token ends whatever the other characters are.
+_CUTS = regex.compile(r"(?<=[\x21-\x7e])(?=\x20)", regex.V1)
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -40,7 +46,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Counter:
     """Counts the tokens of texts by one vocabulary file of the ``tokenizers`` library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: list[str] | None = None):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -55,10 +61,10 @@ class Counter:
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("only plain added tokens are supported")
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.whole = self._prove(spec["model"]["vocab"])
+        self.whole = dict.fromkeys(self._prove(spec["model"]["vocab"]) if whole is None else whole, 1)
         self.known = _Known(self)
 
-    def _prove(self, vocab: dict[str, int]) -> dict[str, int]:
+    def _prove(self, vocab: dict[str, int]) -> list[str]:
         """Vocabulary strings that are a whole pre-token and come back from the library as exactly their own id."""
         shown = {c: i for i, c in enumerate(_byte_letters())}
         texts, ids = [], []
@@ -72,18 +78,22 @@ class Counter:
                 texts.append(text)
                 ids.append(i)
         found = self.library.encode_batch(texts, add_special_tokens=False)
-        return {t: 1 for t, i, e in zip(texts, ids, found, strict=True) if e.ids == [i]}
+        return [t for t, i, e in zip(texts, ids, found, strict=True) if e.ids == [i]]
 
     def merge(self, pre_token: str) -> int:
         return len(self.library.encode(pre_token, add_special_tokens=False).ids)
 
     def count(self, text: str) -> int:
-        if SAFE.fullmatch(text) is None:
-            return self.merge(text)
         if self.split is None or not self.split.search(text):
-            return sum(map(self.known.__getitem__, PATTERN.findall(text)))
+            return self._plain(text)
         pieces = self.split.split(text)
-        return len(pieces) - 1 + sum(sum(map(self.known.__getitem__, PATTERN.findall(p))) for p in pieces)
+        return len(pieces) - 1 + sum(map(self._plain, pieces))
+
+    def _plain(self, text: str) -> int:
+        """Tokens of a text without special tokens."""
+        if SAFE.fullmatch(text):
+            return sum(map(self.known.__getitem__, PATTERN.findall(text)))
+        return sum(sum(map(self.known.__getitem__, PATTERN.findall(p))) if SAFE.fullmatch(p) else self.known[p] for p in _CUTS.split(text) if p)
 
 
 class _Known(dict):
@@ -111,18 +121,19 @@ def _byte_letters() -> list[str]:
 _COUNTERS: dict[str, Counter] = {}
 
 
-def counter(path: str) -> Counter:
-    """The counter for ``path``, made once in each Python worker."""
+def counter(path: str, whole: list[str] | None = None) -> Counter:
+    """The counter for ``path``, made once in each process; with the proven strings it is given, if any."""
     if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
+        _COUNTERS[path] = Counter(path, whole)
     return _COUNTERS[path]
 
 
 def count_tokens(docs: DataFrame, *, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every document."""
+    whole = list(counter(vocabulary_path(vocabulary)).whole)  # proven here; no larger than the vocabulary
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(vocabulary_path(vocabulary))
+        c = counter(vocabulary_path(vocabulary), whole)
         for b in batches:
             texts = b.column(1).to_pylist()
             tokens = pa.array([c.count(t) if t else 0 for t in texts], pa.int64())

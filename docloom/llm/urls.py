@@ -2,11 +2,13 @@
 
 Rules come first: a rule names a host and the start of a path and fits the host and its subdomains; the longest fitting
 rule decides. Every other url is decided by gradient-boosted trees over lexical features: lengths, depth, digit ratio, entropy, parameters,
-and how often urls of its suffix are blocked. The trees are fitted on at most ``TRAIN_ROWS`` distinct urls that rules have labelled, drawn
-by hash (the fit itself runs on that sample on the driver), and are scored as one SQL expression.
+and how often rules block urls of its suffix. The suffix statistic counts distinct urls that rules have labelled, and is cross-fitted: a url of
+the training sample is told what the other half of them says, so that no label enters its own features; other urls are told what both halves say. The
+trees are fitted on at most ``TRAIN_ROWS`` distinct labelled urls, drawn by hash (the fit itself runs on that sample on the driver), and are scored as one SQL expression.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule, and is judged by the trees like any
-other; if the rules label no url or one class only, the trees' verdict is ``allow``; repeated rows are judged each; an empty table gives no rows.
+other; if the rules label no url or one class only, the trees' verdict is ``allow``; repeated rows are judged each; an empty table gives no rows; other columns are
+ignored, so that their names cannot clash.
 """
 
 from __future__ import annotations
@@ -69,23 +71,42 @@ def lexical(pages: DataFrame) -> DataFrame:
     return base.select("page_id", "u", "host", "path", name.alias("rule"), verdict.alias("ruled"), F.substring_index("host", ".", -1).alias("suffix"), F.xxhash64("u").alias("draw"), *[c.cast("double").alias(k) for k, c in columns.items()])
 
 
+def suffix_statistics(urls: DataFrame) -> DataFrame:
+    """``suffix, n0, b0, n1, b1``: distinct labelled urls of each half, and how many of them are blocked."""
+    once = urls.filter(F.col("ruled").isNotNull()).groupBy("u").agg(F.first("suffix").alias("suffix"), F.first("ruled").alias("ruled"), F.first("half").alias("half"))
+    counts = [f(F.when(F.col("half") == h, x)) for h in (0, 1) for f, x in ((F.count, F.lit(1)), (F.sum, (F.col("ruled") == "block").cast("long")))]
+    return once.groupBy(F.col("suffix").alias("s")).agg(*[F.coalesce(c, F.lit(0)).alias(k) for c, k in zip(counts, ("n0", "b0", "n1", "b1"), strict=True)])
+
+
+def with_suffixes(urls: DataFrame) -> DataFrame:
+    """``urls`` with ``suffix_blocked`` and, for training, ``suffix_crossed``."""
+    urls = urls.withColumn("half", F.pmod(F.xxhash64("u", F.lit(7)), F.lit(2)))
+    told = durable(suffix_statistics(urls), "url-suffixes")
+    full = urls.join(small(told, told.count()), F.col("suffix") == F.col("s"), "left").na.fill(0, ["n0", "b0", "n1", "b1"])
+    share = lambda b, n: (b + 1) / (n + 2)
+    crossed = F.when(F.col("half") == 0, share(F.col("b1"), F.col("n1"))).otherwise(share(F.col("b0"), F.col("n0")))
+    return full.select(*urls.columns, share(F.col("b0") + F.col("b1"), F.col("n0") + F.col("n1")).alias("suffix_blocked"), crossed.alias("suffix_crossed"))
+
+
 def sample_of(urls: DataFrame, rows: int) -> DataFrame:
     """At most ``rows`` urls that rules have labelled, each once: all that is learned from a url follows from the url itself."""
-    once = urls.filter(F.col("ruled").isNotNull()).groupBy("u").agg(*[F.first(c).alias(c) for c in ("draw", "ruled", *FEATURES)])
+    inputs = [c for c in [*FEATURES, "suffix_crossed"] if c in urls.columns]
+    once = urls.filter(F.col("ruled").isNotNull()).groupBy("u").agg(*[F.first(c).alias(c) for c in ("draw", "ruled", *inputs)])
     return once.orderBy("draw", "u").limit(rows)
 
 
-def judge_urls(pages: DataFrame, *, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``page_id, host, path, rule, verdict, block_score`` of every url."""
-    urls = lexical(pages.select("page_id", "url"))
-    blocked = F.coalesce(F.col("ruled") == "block", F.lit(False)).cast("int")
-    suffixes = durable(urls.groupBy(F.col("suffix").alias("s")).agg(F.count("*").alias("n"), F.sum(blocked).alias("b")).select("s", ((F.col("b") + 1) / (F.col("n") + 2)).alias("suffix_blocked")), "url-suffixes")
-    full = urls.join(small(suffixes, suffixes.count()), F.col("suffix") == F.col("s"))
+def train(full: DataFrame, rows: int = TRAIN_ROWS) -> gbt.Forest | None:
+    """Trees for the labelled urls of ``full`` (as ``with_suffixes`` returns it); none if there are not both classes."""
     sample = sample_of(full, rows).collect()
-    x = np.array([[r[f] for f in FEATURES] for r in sample], float).reshape(-1, len(FEATURES))
+    x = np.array([[r["suffix_crossed" if f == "suffix_blocked" else f] for f in FEATURES] for r in sample], float).reshape(-1, len(FEATURES))
     y = np.array([r["ruled"] == "block" for r in sample], float)
-    score = F.lit(0.0)
-    if 0 < y.sum() < len(y):
-        score = 1 / (1 + F.exp(-F.expr(gbt.fit(x, y, trees=30, depth=3).sql(FEATURES))))
+    return gbt.fit(x, y, trees=30, depth=3) if 0 < y.sum() < len(y) else None
+
+
+def judge_urls(pages: DataFrame, *, rows: int = TRAIN_ROWS) -> DataFrame:
+    """``page_id, host, path, rule, verdict, block_score`` of every url."""
+    full = with_suffixes(lexical(pages.select("page_id", "url")))
+    forest = train(full, rows)
+    score = 1 / (1 + F.exp(-F.expr(forest.sql(FEATURES)))) if forest else F.lit(0.0)
     judged = full.withColumn("block_score", score)
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("block_score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "block_score")

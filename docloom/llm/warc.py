@@ -9,7 +9,8 @@ SHA-256 of the stored bytes must be their address and the SHA-1 the one that the
 
 Defined results: a null payload is empty; a null url is an empty target; line breaks in a url are percent-encoded. Of equal
 payloads of at least ``min_revisit`` bytes the record with the largest id is the response (all of them, if rows tie there) and the others
-revisit it; a null id is smaller than any other. An empty table gives an empty archive. Other columns are ignored.
+revisit it; a null id is smaller than any other. Ids may be whole numbers or texts (percent-encoded where a header needs it); which they are is named
+when reading, and a text where a number is asked for stops the job. Repeated rows are records each. An empty table gives an empty archive. Other columns are ignored, so that their names cannot clash.
 """
 
 from __future__ import annotations
@@ -28,8 +29,26 @@ def _lines(*lines: Column | str) -> Column:
     return F.concat(F.concat_ws(END, *[F.lit(x) if isinstance(x, str) else x for x in lines]), F.lit(END * 2))
 
 
+#: What an id's characters become within a record id.
+ENCODED = {"%": "%25", "<": "%3C", ">": "%3E", " ": "%20", "\t": "%09", "\r": "%0D", "\n": "%0A"}
+
+
 def _id(page_id: Column) -> Column:
-    return F.concat(F.lit(f"<{RECORD_ID}"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
+    text = page_id.cast("string")
+    for plain, code in ENCODED.items():
+        text = F.replace(text, F.lit(plain), F.lit(code))
+    return F.concat(F.lit(f"<{RECORD_ID}"), F.coalesce(text, F.lit("")), F.lit(">"))
+
+
+def _id_of(field: Column, kind: str) -> Column:
+    """The id within a header field; null where there is none, or where it is empty."""
+    text = F.nullif(F.regexp_extract(field, rf"<{RECORD_ID}([^>]*)>", 1), F.lit(""))
+    for plain, code in reversed(ENCODED.items()):
+        text = F.replace(text, F.lit(code), F.lit(plain))
+    if kind == "string":
+        return text
+    wrong = F.raise_error(F.concat(F.lit(f"no {kind}: record id "), text))
+    return F.when(text.isNull() | text.try_cast(kind).isNotNull(), text.try_cast(kind)).otherwise(wrong)
 
 
 def write_archive(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", payload: str = "html", min_revisit: int = MIN_REVISIT) -> None:
@@ -67,15 +86,14 @@ def write_archive(pages: DataFrame, path: str, *, key: str = "page_id", url: str
     marked.withColumn("http", http).select(head.alias("head"), "http", "address").write.parquet(f"{path}/headers")
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """The fields of every record, parsed from its stored header block."""
+def read_headers(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """The fields of every record, parsed from its stored header block. ``id_type``: ``string``, or a whole-number type."""
     field = lambda name: F.regexp_extract("head", rf"\n{name}: ([^\r\n]*)\r\n", 1)
-    number = lambda text: F.nullif(F.regexp_extract(text, rf"<{RECORD_ID}(-?\d*)>", 1), F.lit("")).cast("long")
     return spark.read.schema("head string, http string, address string").parquet(f"{path}/headers").select(
-        number(field("WARC-Record-ID")).alias("page_id"),
+        _id_of(field("WARC-Record-ID"), id_type).alias("page_id"),
         field("WARC-Target-URI").alias("url"),
         field("WARC-Type").alias("record_type"),
-        number(field("WARC-Refers-To")).alias("refers_to"),
+        _id_of(field("WARC-Refers-To"), id_type).alias("refers_to"),
         F.substring(field("WARC-Payload-Digest"), len("sha1:") + 1, 40).alias("stated_sha1"),
         "head",
         "http",
@@ -91,14 +109,14 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """Every record: its fields, its payload, and ``record``, its bytes as a WARC file has them.
 
     Columns that aren't asked for aren't read: without ``payload`` and ``record`` only digests travel to the join.
     """
     missing = F.raise_error(F.concat(F.lit("no payload at "), "address"))
     wrong = F.raise_error(F.concat(F.lit("header and payload disagree: "), "head"))
-    joined = read_headers(spark, path).join(read_payloads(spark, path), F.col("address") == F.col("stored"), "left")
+    joined = read_headers(spark, path, id_type).join(read_payloads(spark, path), F.col("address") == F.col("stored"), "left")
     digest = F.when(F.col("stored").isNull(), missing).when(F.col("payload_digest") != F.col("stated_sha1"), wrong).otherwise(F.col("payload_digest"))
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
     record = F.concat(F.encode("head", "UTF-8"), F.encode("http", "UTF-8"), block, F.lit((END * 2).encode()))

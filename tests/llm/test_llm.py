@@ -44,6 +44,82 @@ def test_query_equals_duckdb(spark, small, name):
     assert_equal(QUERIES[name](spark, small), ORACLE_SQL[name], small)
 
 
+def awkward_folder(path):
+    """Tables with nulls, empty and very long texts, ties, repeated rows, and columns with clashing names."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    long = " ".join(f"w{i % 977}" for i in range(20_000))
+    texts = [None, "", " \t\n", "one", "five words are in here now", long, "same same same same same same", "Zwölf Boxkämpfer jagen 🤦🏼‍♂️ Viktor quer über den Sylter Deich"]
+    docs = [(i, texts[i % 8], "s%d" % (i % 3) if i % 5 else None) for i in range(64)] + [(None, texts[4], None)] * 30 + [(7, texts[6], "s1")] * 20
+    extra = {c: pa.array([7] * len(docs)) for c in EXTRA}
+    column = lambda rows, k, kind: pa.array([r[k] for r in rows], kind)
+    write = lambda name, columns: pq.write_table(pa.table(columns), f"{path}/{name}.parquet")
+    write("documents", {"doc_id": column(docs, 0, pa.int64()), "text": column(docs, 1, pa.string()), "source": column(docs, 2, pa.string())} | extra)
+    pages = [(i, f"http://h{i % 5}.net/{i}", [None, "", "x" * 1000, "y" * 3_000_000, "<p>ü</p>" * 200, "z" * 999][i % 6]) for i in range(60)] + [(3, "http://a.org/", "x" * 1000)] * 4
+    write("pages", {"page_id": column(pages, 0, pa.int64()), "url": column(pages, 1, pa.string()), "html": column(pages, 2, pa.string()), "address": pa.array([1] * len(pages)), "sha1": pa.array([1] * len(pages))})
+    turns = [(c, t, ["user", None, "assistant"][t % 3], [None, "", "hello", long[:5000], "hello"][(c + t) % 5] if t else "start") for c in range(12) for t in range(c % 6)] + [(2, None, "user", "again")] * 3 + [(None, 0, "user", "lost")]
+    write("conversations", {"conv_id": column(turns, 0, pa.int64()), "turn": column(turns, 1, pa.int64()), "role": column(turns, 2, pa.string()), "text": column(turns, 3, pa.string()), "seq": pa.array([1] * len(turns)), "c": pa.array([1] * len(turns))})
+    items = [(1, "same same same"), (2, texts[7]), (3, None), (4, ""), (2, texts[7]), (5, long[:400])]
+    write("benchmark", {"item_id": column(items, 0, pa.int64()), "text": column(items, 1, pa.string()), "key": pa.array([1] * len(items))})
+
+
+@pytest.mark.parametrize("name", ["op1_mix", "op3_warc", "op6_chat"])
+def test_awkward_tables_equal_duckdb(spark, tmp_path, name):
+    awkward_folder(tmp_path)
+    assert_equal(QUERIES[name](spark, str(tmp_path)), ORACLE_SQL[name], str(tmp_path))
+
+
+def test_awkward_tables_have_their_values(spark, tmp_path):
+    import zlib
+
+    awkward_folder(tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sharded = sharding.shard(docs).collect()
+    raw = [(t or "").encode() for _, t in rows]
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in sharded) == collections.Counter((i, len(b) + 8, zlib.crc32(b)) for (i, _), b in zip(rows, raw, strict=True))
+    assert sorted((r["shard"], r["slot"]) for r in sharded) == [(s, k) for s, n in enumerate(sharding.shard_sizes(len(rows), 24)) for k in range(n)]
+    library = tokens.counter(tokens.vocabulary_path()).library
+    counted = collections.Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokens.count_tokens(docs).collect())
+    size = [len(library.encode(b.decode(), add_special_tokens=False).ids) for b in raw]
+    assert counted == collections.Counter((i, len(b), n, n > 1024) for (i, _), b, n in zip(rows, raw, size, strict=True))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(64)], "doc_id long, quality int, toxic int")
+    judged = collections.Counter((r["doc_id"], *[r[c] for c in quality.STATISTICS[:5]]) for r in quality.judge(docs, labels).collect())
+    assert judged == collections.Counter((i, *brute_statistics(t)) for i, t in rows)
+    scored = toxicity.score_toxicity(docs, labels).collect()
+    assert sorted(str(r["doc_id"]) for r in scored) == sorted(str(i) for i, _ in rows) and all(0 <= r["score"] <= 1 for r in scored)
+    spans = brute_contamination(rows, [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{tmp_path}/benchmark.parquet").collect()])
+    unique = collections.Counter(i for i, _ in rows)
+    for r in decontam.contamination(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect():
+        if unique[r["doc_id"]] == 1:
+            assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == spans[r["doc_id"]]
+
+
+def test_stages_on_awkward_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    awkward_folder(tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1, 0), (None, 1, 1), (13, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda r: (r["doc_id"], r["text"])
+    every = collections.Counter(map(key, docs.collect()))
+    for name, stage in p.STAGES:
+        out, none = stage(spark, docs, str(tmp_path)), stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0
+        replaced = ("shard", "slot") if name == "sharding" else ()
+        assert out.columns == [*(c for c in docs.columns if c not in replaced), *replaced], name
+        got = collections.Counter(map(key, out.collect()))
+        assert set(got) <= set(every), name
+        if name == "quality rules":
+            assert all(len((t or "").split()) >= 50 for _, t in got)
+        elif name == "n-gram Jaccard join":
+            # one row of each set of words; rows without words each
+            assert sum(n for (_, t), n in got.items() if t and t.split()) == 5 and sum(got.values()) == 5 + sum(n for (_, t), n in every.items() if not (t and t.split()))
+        elif name == "sharding":
+            assert got == every
+
+
 # --- mixing ---
 
 
@@ -116,6 +192,30 @@ def test_shards_are_exact_gapless_and_repeatable(spark, small):
 # --- WARC ---
 
 
+def test_shuffle_is_uniform(spark):
+    """Over some seeds every row falls on every shard equally often, and neighbours are not kept together."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).coalesce(1)
+    seen, apart, seeds = np.zeros((400, 4)), 0, 12
+    for seed in range(seeds):
+        at = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, 4, seed=seed).select("doc_id", "shard").collect()}
+        for i, s in at.items():
+            seen[i, s] += 1
+        apart += sum(at[i] != at[i + 1] for i in range(399))
+    # chi square with 1,200 degrees of freedom: mean 1,200, deviation 49
+    assert 1000 < ((seen - seeds / 4) ** 2 / (seeds / 4)).sum() < 1400
+    assert abs(apart / (seeds * 399) - 3 / 4) < 0.03
+
+
+def test_archive_of_text_ids(spark, tmp_path):
+    rows = [("a b>%3E<c\r\n", "u", "x" * 2000), ("b", "u", "x" * 2000), (None, "u", "x" * 2000), ("12", "u", "y")]
+    path = f"{tmp_path}/text"
+    warc.write_archive(spark.createDataFrame(rows, "page_id string, url string, html string"), path)
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_archive(spark, path, "string").collect()}
+    assert got == {("a b>%3E<c\r\n", "revisit", "b"), ("b", "response", None), (None, "revisit", "b"), ("12", "response", None)}
+    with pytest.raises(Exception, match="no long"):
+        warc.read_archive(spark, path).collect()
+
+
 def test_archive_round_trip(spark, tmp_path):
     big = "<p>é " * 400
     rows = [(1, "http://a/x", big), (9, "http://a/y\r\nWARC-Type: forged", big), (5, None, big), (2, "u", "tiny"), (3, "u", "tiny"), (4, "u", None), (None, "u", big)]
@@ -164,6 +264,27 @@ def test_token_counts_are_the_library_s(spark, small):
     assert got[-1]["n_tokens"] == 0 and all(got[i]["n_bytes"] == len(t.encode("utf-8", "surrogatepass")) and got[i]["over_limit"] == (want[i] > 1024) for i, t in enumerate(texts))
 
 
+def test_texts_with_any_characters_are_counted_as_the_library_does():
+    rng = random.Random(8)
+    c = tokens.Counter(tokens.vocabulary_path())
+    odd = "🤦🏼‍♂️жёд漢字かな한\u00a0\u2003\u3000\u200b\u0085\u2028\x1c\x1d\x1e\x1f٣४ⅷ½ﬁ\u0301\ufeff"
+    for _ in range(3000):
+        text = "".join(rng.choice(["the", " ", "  ", "\n", "'s", "'", "12", "!?", "é", rng.choice(odd), c.special[0] if c.special else "x"]) for _ in range(rng.randrange(1, 25)))
+        assert c.count(text) == len(c.library.encode(text, add_special_tokens=False).ids), repr(text)
+    asked = []
+    c.merge = lambda text, merge=c.merge: asked.append(text) or merge(text)
+    c.known.clear()
+    c.known.update(c.whole)
+    c.count("the first of many words and one 漢字 among the other words of the text")
+    assert " 漢字 among" in asked and max(map(len, asked)) < 12
+
+
+def test_the_proof_is_shipped_not_repeated(monkeypatch):
+    whole = list(tokens.counter(tokens.vocabulary_path()).whole)
+    monkeypatch.setattr(tokens.Counter, "_prove", lambda *a: 1 / 0)
+    assert tokens.Counter(tokens.vocabulary_path(), whole).count("the whole of it") == 4
+
+
 def test_safe_characters_are_split_alike():
     c = tokens.counter(tokens.vocabulary_path())
     for cp in [x for x in range(0x2C00) if tokens.SAFE.fullmatch(chr(x))]:
@@ -301,6 +422,39 @@ def test_snapshots_collapse_and_render(spark):
     assert got[8]["rendered"] == "<|unknown|>\n\n<|end|>\n"
 
 
+def brute_chat(rows):
+    """conv_id to rendered text of the maximal conversations."""
+    import hashlib
+
+    log = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = "unknown" if role is None else role, text or ""
+            tie = hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).hexdigest()
+            log[c].append((turn is not None, turn or 0, tie, role, text))
+    log = {c: [x[3:] for x in sorted(turns)] for c, turns in log.items()}
+    kept = {c for c, t in log.items() if not any(o != c and u[: len(t)] == t and (len(u) > len(t) or o < c) for o, u in log.items())}
+    return {c: "".join(f"<|{r}|>\n{x}\n<|end|>\n" for r, x in log[c]) for c in kept}
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_awkward_conversations_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    monkeypatch.setattr(chat, "PART", 3)
+    long = "very long " * 20_000
+    # role and text that read alike when joined; equal and null turns; repeated rows; a long text; prefixes of each; very long crowds of one turn
+    rows = [(1, 0, "a", "b\x1fc"), (2, 0, "a\x1fb", "c"), (3, 0, "a", "bc"), (4, 0, "ab", "c"), (5, 0, "a", "b\x1fc"), (5, 1, "a", None)]
+    rows += [(6, 3, "u", f"t{i}") for i in range(40)] + [(7, None, "u", f"n{i % 9}") for i in range(40)] + [(8, None, "u", f"n{i % 9}") for i in range(40)] + [(8, 4, "u", "more")]
+    rows += [(9, 0, "u", "x")] * 30 + [(10, 0, "u", "x")] * 31 + [(11, 0, "u", long), (12, 0, "u", long), (12, 1, None, None), (None, 0, "u", "lost"), (13, -5, "u", "before"), (13, 5000, "u", "after"), (14, -5, "u", "before")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for name in ("seq", "block", "c", "b", "digest", "copies", "stretch", "many", "cuts", "n_turns", "part"):
+        turns = turns.withColumn(name, F.lit(7))
+    got = {r["conv_id"]: r["rendered"] for r in chat.whole_conversations(turns).collect()}
+    want = brute_chat(rows)
+    assert {2, 3, 4, 5} <= set(want) and 1 not in want
+    assert got == want
+
+
 def test_long_conversations_are_rendered_in_parts(spark, monkeypatch):
     monkeypatch.setattr(chat, "PART", 4)
     monkeypatch.setattr(chat, "BLOCK", 3)
@@ -447,10 +601,71 @@ def test_url_sample_takes_each_url_once(spark):
     assert sorted(held) == sorted(urls.sample_of(full.repartition(5), 20).collect())
 
 
-def test_native_plans_have_no_python(spark, small):
+def brute_url(url):
+    """Host, path and lexical features, without the suffix statistic."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.split("[/?#]", rest, maxsplit=1)[0].translate(LOWER)
+    path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+    u = url or ""
+    share = [host.count(c) / max(1, len(host)) for c in dict.fromkeys(host)]
+    query = u.split("?", 1)[1].split("#", 1)[0] if "?" in u else ""
+    return host, path, {
+        "url_length": len(u), "host_length": len(host), "path_length": len(path), "depth": path.count("/"), "host_labels": host.count(".") + 1, "digit_ratio": sum(c in "0123456789" for c in u) / max(1, len(u)),
+        "hyphens": host.count("-"), "entropy": -sum(p * math.log2(p) for p in share), "n_parameters": query.count("&") + 1 if query else 0, "has_fragment": float("#" in u),
+    }
+
+
+def test_urls_equal_brute_force(spark, small):
+    """Host, path, every feature, the cross-fitted suffix statistic and every verdict."""
+    odd = [None, "", "no scheme", "http://", "http://a.net/" + "x/" * 50_000, "http://B.ORG/fr/a?b=1&c=2#d?e", "http://x.org/fr/1"] + ["http://x.org/fr/1"] * 40
+    pages = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url").union(spark.createDataFrame([(1_000_000 + i, u) for i, u in enumerate(odd)], "page_id long, url string"))
+    clash = pages.select("*", *[F.lit(7).alias(c) for c in ("host", "path", "u", "suffix", "s", "half", "n0", "draw", "rule", "ruled", *urls.FEATURES)])
+    full = urls.with_suffixes(urls.lexical(clash)).collect()
+    labelled = {r["u"]: r for r in full if r["ruled"]}
+    forest = urls.train(urls.with_suffixes(urls.lexical(clash)))
+    judged = {r["page_id"]: r for r in urls.judge_urls(clash).collect()}
+    url_of = dict(pages.collect())
+    assert len(judged) == len(full) == len(url_of)
+    for r in full:
+        host, path, features = brute_url(url_of[r["page_id"]])
+        assert (r["host"], r["path"]) == (host, path)
+        for k, v in features.items():
+            assert math.isclose(r[k], v, abs_tol=1e-9), (k, r["u"])
+        near = [x for x in labelled.values() if x["suffix"] == host.rsplit(".", 1)[-1]]
+        rate = lambda rows: (sum(x["ruled"] == "block" for x in rows) + 1) / (len(rows) + 2)
+        assert math.isclose(r["suffix_blocked"], rate(near)) and math.isclose(r["suffix_crossed"], rate([x for x in near if x["half"] != r["half"]]))
+        score = forest.score(np.array([[r[f] for f in urls.FEATURES]], float))[0]
+        j = judged[r["page_id"]]
+        assert math.isclose(j["block_score"], score, abs_tol=1e-9) and j["verdict"] == (r["ruled"] or ("block" if score >= 0.5 else "allow"))
+
+
+def test_trees_judge_urls_they_have_not_seen(spark, small):
+    """Trained on the rules' labels of one half of the urls, the trees tell those of the other half as far as lexical features can.
+
+    The rules tell .net urls by the language in their path, which no feature names; the other suffixes have one label each.
+    """
+    full = urls.with_suffixes(urls.lexical(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")))
+    forest = urls.train(full.filter("half = 0"))
+    other = urls.sample_of(full.filter("half = 1"), 10_000).collect()
+    x = np.array([[r["suffix_crossed" if f == "suffix_blocked" else f] for f in urls.FEATURES] for r in other], float)
+    right = (forest.score(x) >= 0.5) == np.array([r["ruled"] == "block" for r in other])
+    told = np.array([r["suffix"] != "net" for r in other])
+    assert told.sum() > 100 and right[told].mean() >= 0.95 and right.mean() >= 0.6
+
+
+def test_native_plans_have_no_python(spark, small, monkeypatch):
+    """Neither the last plan of a native query nor that of any table written on the way, and no rows come from Python."""
+    plans = []
+    look = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (sharding, urls, decontam):
+        if hasattr(module, "durable"):
+            monkeypatch.setattr(module, "durable", lambda df, name, write=module.durable: (look(df), write(df, name))[1])
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: 1 / 0)
     for name in ("op2_shard", "op9_url_filter", "op10_decontamination"):
-        plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
-        assert not re.search("Python|Pandas|Arrow", plan), name
+        look(QUERIES[name](spark, small))
+    assert len(plans) > 8
+    for plan in plans:
+        assert not re.search("Python|Pandas|Arrow|ExistingRDD|LogicalRDD", plan), plan
 
 
 # --- decontamination ---
