@@ -8,7 +8,14 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .plans.store import Engine, StoreError
+from .functions import text as T
+from .operators import compiling as C
+from .operators import reading as R
+from .operators import searching as S
+from .plans.store import Engine, InvalidRequest, Missing, StoreError, gc_all
+from .sources import markdown
+from .sources.shared import durable, scratch_path
+from .streaming.watch import watch
 
 
 def parser() -> argparse.ArgumentParser:
@@ -16,12 +23,34 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--data", required=True)
     p.add_argument("--tenant", default="default")
     verbs = p.add_subparsers(dest="verb", required=True)
-    for name, args in {"sync": ["folder"], "import": ["folder"], "export": ["folder"], "manifest": [], "snapshot": [], "sources": [], "verify": [], "diagnostics": []}.items():
+    for name, args in {"sync": ["folder"], "compile": ["folder"], "export": ["folder"], "watch": ["folder"], "migrate": ["other"], "manifest": [], "snapshot": [], "sources": [], "diagnostics": [], "stats": [], "delete-bundle": ["bundle"]}.items():
         v = verbs.add_parser(name)
         for a in args:
             v.add_argument(a)
-        if name == "manifest":
+        if name in ("manifest", "diagnostics"):
             v.add_argument("--bundle")
+        if name == "diagnostics":
+            v.add_argument("--path")
+        if name in ("sync", "compile"):
+            v.add_argument("--summary-width", type=int)
+        if name == "compile":
+            v.add_argument("--strict", action="store_true", help="fail if there is any diagnostic")
+    watch = verbs.choices["watch"]
+    watch.add_argument("--debounce", type=int, default=200, help="milliseconds")
+    watch.add_argument("--rescan", type=int, default=30_000, help="milliseconds")
+    imports = verbs.add_parser("import")
+    imports.add_argument("folders", nargs="+")
+    imports.add_argument("--summary-width", type=int)
+    for name in ("read", "write", "delete"):
+        v = verbs.add_parser(name)
+        v.add_argument("bundle")
+        v.add_argument("path")
+        if name != "read":
+            v.add_argument("--replaces", help="the hash that the change is based on")
+        if name == "write":
+            v.add_argument("--from", dest="file", type=argparse.FileType("r"), default=sys.stdin)
+    verify = verbs.add_parser("verify")
+    verify.add_argument("revision", nargs="?")
     get = verbs.add_parser("get")
     get.add_argument("ids", nargs="+")
     for a, kind in (("--section", str), ("--offset", int), ("--limit", int), ("--find", str)):
@@ -45,16 +74,50 @@ def parser() -> argparse.ArgumentParser:
     gc = verbs.add_parser("gc")
     gc.add_argument("--keep", type=int, default=10)
     gc.add_argument("--dry-run", action="store_true")
+    gc.add_argument("--all", action="store_true", help="every tenant")
     return p
 
 
+def _stats(engine: Engine) -> str:
+    s = engine.stats()
+    return f"{s['concepts']} concepts, {s['bytes']} bytes, ~{s['tokens']} tokens"
+
+
 def run(a: argparse.Namespace, engine: Engine) -> str:
     show = lambda x: json.dumps(x, indent=1, default=str)
     match a.verb:
         case "sync":
-            return show(engine.sync(a.folder))
+            result = show(engine.sync(a.folder, a.summary_width))
+            print(_stats(engine), file=sys.stderr)
+            return result
+        case "compile":
+            concepts = durable(C.compile_documents(markdown.read_folder(engine.spark, a.folder), a.summary_width or T.SUMMARY_WIDTH), "compiled")
+            told = [f"{r['level']} {r['bundle']}/{r['path']}: {r['message']}" for r in C.diagnostics(concepts).orderBy("bundle", "path").toLocalIterator()]
+            print("\n".join(told), file=sys.stderr)
+            if told and a.strict:
+                raise InvalidRequest(f"{len(told)} diagnostics")
+            return C.serialize_tenant(C.manifest(concepts), engine.tenant).rstrip("\n")
         case "import":
-            return show(engine.import_folder(a.folder))
+            return show(engine.import_folders(a.folders, a.summary_width))
+        case "migrate":
+            return show(engine.migrate_from(Engine(engine.spark, a.data, a.other)))
+        case "watch":
+            checkpoint = scratch_path(engine.spark, "watch")
+            watch(engine, a.folder, checkpoint, lambda r: print(show(r), flush=True), lambda e: print(e, file=sys.stderr), f"{a.debounce} milliseconds", a.rescan / 1000).awaitTermination()
+            return ""
+        case "stats":
+            return _stats(engine)
+        case "read":
+            held = engine.read_source(a.bundle, a.path)
+            if held is None:
+                raise Missing(f"{a.bundle}/{a.path}")
+            return held["content"]
+        case "write":
+            return show(engine.write_source(a.bundle, a.path, a.file.read(), a.replaces))
+        case "delete":
+            return show(engine.delete_source(a.bundle, a.path, a.replaces))
+        case "delete-bundle":
+            return show(engine.delete_bundle(a.bundle))
         case "export":
             return f"{engine.export_folder(a.folder)} documents"
         case "manifest":
@@ -62,13 +125,13 @@ def run(a: argparse.Namespace, engine: Engine) -> str:
         case "snapshot":
             return engine.snapshot()
         case "sources":
-            return show([r.asDict() for r in engine.list_source().collect()])
+            return "\n".join(json.dumps(r.asDict()) for r in engine.list_source().toLocalIterator())
         case "diagnostics":
-            return "\n".join(f"{r['level']} {r['bundle']}/{r['path']}: {r['message']}" for r in engine.diagnostics().orderBy("bundle", "path").collect())
+            return "\n".join(f"{r['level']} {r['bundle']}/{r['path']}: {r['message']}" for r in engine.diagnostics(a.bundle, a.path).orderBy("bundle", "path").toLocalIterator())
         case "get":
-            return engine.render(a.ids, section=a.section, offset=a.offset, limit=a.limit, find=a.find)
+            return engine.render(a.ids, section=a.section, offset=a.offset, limit=a.limit if a.limit is not None or a.find else R.READ_LIMIT, find=a.find)
         case "search":
-            return engine.search(a.query, a.k, a.bundle, not a.no_expand).rstrip("\n")
+            return engine.search(a.query, min(max(a.k, 1), S.MAX_K), a.bundle, not a.no_expand).rstrip("\n")
         case "transact":
             return show(engine.transact(json.load(a.file), a.expected))
         case "history":
@@ -78,9 +141,9 @@ def run(a: argparse.Namespace, engine: Engine) -> str:
         case "repair":
             return show(engine.repair(a.expected))
         case "gc":
-            return show(engine.gc(a.keep, a.dry_run))
+            return show(gc_all(engine.spark, a.data, a.keep, a.dry_run) if a.all else engine.gc(a.keep, a.dry_run))
         case _:
-            return "\n".join(engine.verify()) or "ok"
+            return "\n".join(engine.verify(a.revision)) or "ok"
 
 
 def main(argv: list[str] | None = None) -> int:

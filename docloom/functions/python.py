@@ -1,10 +1,11 @@
-"""The four functions that built-ins can't express, as Arrow-batched UDFs, and their registration for SQL users."""
+"""The functions that built-ins can't express (or not for a phrase from a column), as Arrow-batched UDFs, and their registration for SQL users."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +80,7 @@ def tokens_exact(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: terms(t or ""))
 
 
+# Headings and fences of Markdown (fixed values).
 _HEADING = re.compile(r"^#{1,6}[ \t]+(.+?)[ \t]*$", re.M)
 _FENCE = re.compile(r"^```[^\n]*$", re.M)
 
@@ -111,34 +113,28 @@ def split_sections(bodies: pd.Series) -> pd.Series:
 
 
 def window_start(text: str, query: str, width: int = T.FIND_WINDOW) -> int | None:
-    """Where a window of ``width`` begins that holds the most distinct words of ``query``, centred on them; the earliest such."""
+    """Where a window of ``width`` begins that holds the most distinct words of ``query``, its words in the middle; the earliest such. None if no word occurs.
+
+    The words of a query are runs of letters and digits, and so is whatever equals one in the text: one scan finds all of them. For each word found, a
+    window that begins there is counted by asking every query word whether its next place lies within.
+    """
     low = text.lower()
     fold = len(low) == len(text)
-    words = dict.fromkeys(w.lower() if fold else w for w in _WORD.findall(query))
-    hay, hits = low if fold else text, []
-    for w in words:
-        at = hay.find(w)
-        while at != -1:
-            end = at + len(w)
-            if not (at and hay[at - 1].isalnum()) and not (end < len(hay) and hay[end].isalnum()):
-                hits.append((at, end, w))
-            at = hay.find(w, end)
-    hits.sort()
-    best, right, inside = (0, 0, 0), 0, {}
-    for at, _, w in hits:
-        while right < len(hits) and hits[right][1] <= at + width:
-            inside[hits[right][2]] = inside.get(hits[right][2], 0) + 1
-            right += 1
-        if len(inside) > best[0]:
-            best = (len(inside), at, hits[right - 1][1])
-        if inside.get(w, 0) > 1:
-            inside[w] -= 1
-        else:
-            inside.pop(w, None)
-    if not hits:
+    wanted = {w: k for k, w in enumerate(dict.fromkeys(_WORD.findall(query.lower() if fold else query)))}
+    found = [(m.start(), m.end(), wanted[m[0]]) for m in _WORD.finditer(low if fold else text) if m[0] in wanted]
+    if not found:
         return None
-    _, start, end = best
-    return min(max(0, start - max(0, (width - (end - start)) // 2)), max(0, len(text) - width))
+    starts, ends, words = np.array(found, np.int64).T
+    here, stop = np.arange(len(starts)), np.searchsorted(ends, starts + width, "right")
+    held = np.zeros(len(starts), np.int64)
+    for k in range(len(wanted)):
+        places = np.append(np.flatnonzero(words == k), len(starts))
+        held += places[np.searchsorted(places, here)] < stop
+    best = int(np.argmax(held))
+    if not held[best]:  # no word fits
+        return 0
+    spare = width - int(ends[stop[best] - 1] - starts[best])
+    return int(np.clip(starts[best] - spare // 2, 0, max(0, len(text) - width)))
 
 
 @F.pandas_udf(Y.IntegerType())
@@ -146,7 +142,20 @@ def best_window(texts: pd.Series, queries: pd.Series) -> pd.Series:
     return pd.Series([window_start(t or "", q or "") for t, q in zip(texts, queries, strict=True)], dtype="Int32")
 
 
+@F.pandas_udf(Y.ArrayType(Y.IntegerType()))
+def find_all(texts: pd.Series, phrases: pd.Series) -> pd.Series:
+    """Offsets of all occurrences of a phrase that don't overlap, regardless of case where that moves no offset."""
+
+    def places(text: str, phrase: str) -> list[int]:
+        low, small = text.lower(), phrase.lower()
+        if len(low) == len(text) and len(small) == len(phrase):
+            text, phrase = low, small
+        return [m.start() for m in re.finditer(re.escape(phrase), text)] if phrase else []
+
+    return pd.Series([places(t or "", p or "") for t, p in zip(texts, phrases, strict=True)])
+
+
 def register(spark: SparkSession) -> None:
     """Make the functions available to SQL."""
-    for name, f in (("okf_frontmatter", frontmatter_fields), ("okf_tokenize", tokens_exact), ("okf_split_sections", split_sections), ("okf_best_window", best_window)):
-        spark.udf.register(name, f)
+    for name, f in (("frontmatter", frontmatter_fields), ("tokenize", tokens_exact), ("split_sections", split_sections), ("best_window", best_window), ("find", find_all)):
+        spark.udf.register(f"docloom_{name}", f)

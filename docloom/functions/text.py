@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 EMPTY = "-"
 #: White space (fixed values): ASCII, no-break space, Ogham, en quad to hair space, line and paragraph separator, narrow and medium spaces, ideographic, BOM.
 SPACE = r"\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+# Patterns of the document format (fixed values): frontmatter block, heading line, inline link.
 FRONTMATTER = r"\A---[ \t]*\r?\n([\s\S]*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 HEADING_LINE = r"#{1,6}[ \t]+([^\n\r\x{2028}\x{2029}]+?)[ \t]*"
-LINK = r'\[[^\]]*\]\([ \t\r\n]*([^)\s]+)(?:[ \t\r\n]+"[^"]*")?[ \t\r\n]*\)'
+LINK = rf'\[[^\]]*\]\([{SPACE}]*([^){SPACE}]+)(?:[{SPACE}]+"[^"]*")?[{SPACE}]*\)'
 MATCH_CAP = 20
 FIND_WINDOW = 2000
 SUMMARY_WIDTH = 120

@@ -42,13 +42,15 @@ def parse_frontmatter(docs: DataFrame) -> DataFrame:
 def derive_ids(docs: DataFrame) -> DataFrame:
     """``bundle, path, local_id``: the base name if no other document of the bundle has it, else with its folder, else the path.
 
-    Names are counted before they are joined, so one that many documents share is no hot window.
+    Names are counted before they are joined, so one that many documents share is no hot window. One pass counts both kinds.
     """
     bare = F.regexp_replace("path", r"(?i)\.md\z", "")
     names = docs.select("bundle", "path", bare.alias("c3")).select("*", F.substring_index("c3", "/", -1).alias("c1"), F.substring_index("c3", "/", -2).alias("c2"))
-    many = lambda c: names.groupBy(F.col("bundle").alias(f"{c}b"), F.col(c).alias(f"{c}n")).count().filter("count > 1").select(f"{c}b", f"{c}n", F.lit(True).alias(f"{c}_taken"))
+    each = names.select("bundle", F.explode(F.array(F.struct(F.lit("c1").alias("of"), F.col("c1").alias("name")), F.struct(F.lit("c2").alias("of"), F.col("c2").alias("name")))).alias("e"))
+    taken = durable(each.groupBy("bundle", "e.of", "e.name").count().filter("count > 1").drop("count"), "names-taken")
     for c in ("c1", "c2"):
-        names = names.join(many(c), (F.col("bundle") == F.col(f"{c}b")) & (F.col(c) == F.col(f"{c}n")), "left").drop(f"{c}b", f"{c}n")
+        of = taken.filter(F.col("of") == c).select(F.col("bundle").alias(f"{c}b"), F.col("name").alias(f"{c}n"), F.lit(True).alias(f"{c}_taken"))
+        names = names.join(of, (F.col("bundle") == F.col(f"{c}b")) & (F.col(c) == F.col(f"{c}n")), "left").drop(f"{c}b", f"{c}n")
     return names.select("bundle", "path", F.when(F.col("c1_taken").isNull(), F.col("c1")).when(F.col("c2_taken").isNull(), F.col("c2")).otherwise(F.col("c3")).alias("local_id"))
 
 
@@ -76,10 +78,15 @@ def broken_links(links: DataFrame) -> DataFrame:
     return links.filter(F.col("target_id").isNull()).select("bundle", "path", F.col("raw").alias("target")).distinct()
 
 
-def compile_documents(docs: DataFrame, width: int = T.SUMMARY_WIDTH) -> DataFrame:
-    """Concepts: ``bundle, path, local_id, id, kind, status, grain, summary, title, stale_after, links, body`` and what diagnostics need."""
-    parsed = parse_frontmatter(concept_documents(docs))
-    ids = global_ids(derive_ids(parsed))
+def compile_documents(docs: DataFrame, width: int = T.SUMMARY_WIDTH, ids: DataFrame | None = None) -> DataFrame:
+    """Concepts: ``bundle, path, local_id, id, kind, status, grain, summary, title, stale_after, links, body`` and what diagnostics need.
+
+    ``ids``: those of the whole collection, if ``docs`` are some of its documents.
+    """
+    docs = concept_documents(docs)
+    parsed = parse_frontmatter(docs)
+    if ids is None:
+        ids = durable(global_ids(derive_ids(docs)), "ids")  # read by documents and by links
     links = resolved_links(parsed, ids)
     own = [F.col("bundle") == F.col("lb"), F.col("path") == F.col("lp")]
     per = links.filter((F.col("target") != F.col("path")) | F.col("target_id").isNull()).groupBy(F.col("bundle").alias("lb"), F.col("path").alias("lp")).agg(F.array_sort(F.collect_set("target_id")).alias("links"), F.array_sort(F.collect_set(F.when(F.col("target_id").isNull(), F.col("raw")))).alias("broken"))
@@ -130,17 +137,8 @@ def manifest_lines(rows: DataFrame, columns: list[str] = TENANT_COLUMNS) -> Data
     return rows.select("bundle", "id", F.concat_ws("\t", *columns).alias("line"))
 
 
-def serialize_bundle(concepts: DataFrame) -> DataFrame:
-    """A row ``bundle, tsv`` for each bundle: comment, columns, rows by local id. Whole files, so for delivery, not for scans."""
-    links = F.when(F.size("links") == 0, F.lit(T.EMPTY)).otherwise(F.array_join("links", " "))
-    line = F.concat_ws("\t", "local_id", "kind", "status", "grain", "summary", links)
-    rows = F.array_sort(F.collect_list(F.struct("local_id", line.alias("line"))))
-    head = F.concat(F.lit("# bundle: "), F.col("bundle"), F.lit("\n" + "\t".join(COLUMNS) + "\n"))
-    return concepts.groupBy("bundle").agg(rows.alias("r")).select("bundle", F.concat(head, F.array_join(F.transform("r", lambda x: x["line"]), "\n"), F.lit("\n")).alias("tsv"))
-
-
 def bundle_lines(concepts: DataFrame) -> DataFrame:
-    """The files of ``serialize_bundle`` as ordered lines ``bundle, local_id, line``, of whole collections: no row holds more than one line. The head of a bundle has an empty id."""
+    """The file of each bundle as ordered lines ``bundle, local_id, line``: comment and columns (with an empty id), then rows by local id. No row holds more than one line."""
     links = F.when(F.size("links") == 0, F.lit(T.EMPTY)).otherwise(F.array_join("links", " "))
     lines = concepts.select("bundle", "local_id", F.concat(F.concat_ws("\t", "local_id", "kind", "status", "grain", "summary", links), F.lit("\n")).alias("line"))
     head = F.concat(F.lit("# bundle: "), F.col("bundle"), F.lit("\n" + "\t".join(COLUMNS) + "\n"))

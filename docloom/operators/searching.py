@@ -1,29 +1,28 @@
 """Weighted BM25 over concepts, link expansion and passage windows.
 
-The index is two tables: ``postings(term, id, tf)`` and ``stats(id, dl)``, with the number of documents and their mean length. A query
-filters postings by its terms before anything is shuffled, so a stored index that is clustered by term is pruned at the scan.
+The index is a table ``postings(term, id, tf, dl)`` with the number of documents and their mean length. A query filters postings by its
+terms before anything is shuffled; a stored index is clustered by term, so that a scan reads the row groups of those terms alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import python as P
 from ..functions import text as T
-from ..sources.shared import durable
+from ..sources.shared import durable, scratch_path
 
 K1, B = 1.2, 0.75
 WEIGHTS = {"body": 1, "fields": 2, "names": 4}
-DEFAULT_K = 8
+DEFAULT_K, MAX_K = 8, 50
 
 
 @dataclass
 class Index:
     postings: DataFrame
-    stats: DataFrame
     n: int
     mean: float
 
@@ -39,16 +38,17 @@ def plain_documents(docs: DataFrame, id_: Column, text: Column) -> DataFrame:
 
 
 def tokenized(documents: DataFrame) -> DataFrame:
-    """``id, w, terms``: each part of each document with its weight. Vetted texts stay in the JVM, the others go to the exact tokenizer."""
+    """``id, w, terms``: each part of each document with its weight, in one pass. Only texts that aren't vetted reach the exact tokenizer."""
     each = F.explode(F.array(*[F.struct(F.col(p).alias("text"), F.lit(w).cast("long").alias("w")) for p, w in WEIGHTS.items()]))
     parts = documents.select("id", each.alias("p")).select("id", "p.text", "p.w")
-    plain = T.is_vetted(F.col("text"))
-    native = parts.filter(plain).select("id", "w", T.tokens(F.col("text")).alias("terms"))
-    return native.union(parts.filter(~plain).select("id", "w", P.tokens_exact("text").alias("terms")))
+    parts = parts.withColumn("odd", F.when(~T.is_vetted(F.col("text")), F.col("text")))
+    return parts.select("id", "w", F.when(F.col("odd").isNull(), T.tokens(F.col("text"))).otherwise(P.tokens_exact("odd")).alias("terms"))
 
 
 def _frequencies(tokens: DataFrame) -> DataFrame:
-    return tokens.select("id", "w", F.explode("terms").alias("term")).groupBy("term", "id").agg(F.sum("w").alias("tf"))
+    # outer: else a filter on the size of the terms is inferred, which tokenizes every text twice
+    each = tokens.select("id", "w", F.explode_outer("terms").alias("term")).filter(F.col("term").isNotNull())
+    return each.groupBy("term", "id").agg(F.sum("w").alias("tf"))
 
 
 def _lengths(tokens: DataFrame) -> DataFrame:
@@ -69,12 +69,25 @@ def doc_frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def build_index(documents: DataFrame) -> Index:
-    """Index of ``documents``: each text is tokenized once, into a stored table that statistics and postings read."""
+def write_index(documents: DataFrame, path: str) -> None:
+    """Store the index of ``documents`` at ``path``: each text is tokenized once, into a stored table that lengths and postings read."""
     tokens = durable(tokenized(documents), "tokens")
-    stats = durable(_lengths(tokens), "lengths")
-    n, mean = stats.agg(F.count("*"), F.avg("dl")).first()
-    return Index(_frequencies(tokens), stats, n, mean or 0.0)
+    lengths = durable(_lengths(tokens), "lengths")
+    postings = _frequencies(tokens).join(lengths, "id").select("term", "id", "tf", "dl")
+    postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    n, mean = spark.read.schema("n long, mean double").parquet(f"{path}/stats").first()
+    return Index(spark.read.schema("term string, id string, tf long, dl long").parquet(f"{path}/postings"), n, mean or 0.0)
+
+
+def build_index(documents: DataFrame) -> Index:
+    """A new index of ``documents`` in the shared folder."""
+    path = scratch_path(documents.sparkSession, "index")
+    write_index(documents, path)
+    return read_index(documents.sparkSession, path)
 
 
 def query_terms(query: str) -> list[str]:
@@ -82,7 +95,7 @@ def query_terms(query: str) -> list[str]:
 
 
 def contributions(index: Index, matched: DataFrame, keys: list[str]) -> DataFrame:
-    """``*keys, id, score`` of ``matched(*keys, term, id, tf)``.
+    """``*keys, id, score`` of ``matched(*keys, term, id, tf, dl)``, which has all postings of its terms.
 
     Contributions are added in sorted order, so that a score does not depend on how rows were dealt.
     """
@@ -90,7 +103,7 @@ def contributions(index: Index, matched: DataFrame, keys: list[str]) -> DataFram
     idf = F.log(1 + (F.lit(float(index.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(index.mean) if index.mean else F.lit(1.0)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
-    rows = matched.join(df, "term").join(index.stats, "id").select(*keys, "id", part.alias("part"))
+    rows = matched.join(df, "term").select(*keys, "id", part.alias("part"))
     added = F.aggregate(F.array_sort(F.collect_list("part")), F.lit(0.0), lambda a, b: a + b)
     return rows.groupBy(*keys, "id").agg(F.round(added, 9).alias("score"))
 
@@ -109,12 +122,17 @@ def search(index: Index, query: str, k: int = DEFAULT_K, keep: DataFrame | None
 
 def search_many(index: Index, questions: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """``qid, id, score, rank`` of the k best for each of ``questions(qid, query)``; the question terms travel to the postings."""
+    return search_terms(index, questions.select("qid", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term")), k)
+
+
+def search_terms(index: Index, asked: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+    """``search_many`` for ``asked(qid, term)``. Each question's hits are cut to k in every task before they meet."""
     from pyspark.sql import Window
 
-    asked = questions.select("qid", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
-    matched = index.postings.join(asked, "term").select("qid", "term", "id", "tf")
+    matched = index.postings.join(asked, "term").select("qid", "term", "id", "tf", "dl")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return contributions(index, matched, ["qid"]).withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+    best = contributions(index, matched, ["qid"]).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
+    return best.select("qid", "id", "score", (F.col("nth") - 1).alias("rank"))
 
 
 def expand(hits: DataFrame, concepts: DataFrame, k: int = DEFAULT_K, bundle: str | None = None) -> DataFrame:
@@ -123,7 +141,7 @@ def expand(hits: DataFrame, concepts: DataFrame, k: int = DEFAULT_K, bundle: str
     aims = links.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("inbound"), F.min("rank").alias("first"))
     aims = aims.join(F.broadcast(hits.select("id")), "id", "left_anti")
     known = concepts if bundle is None else concepts.filter(F.col("bundle") == bundle)
-    return known.select("id").join(F.broadcast(aims), "id").select("id", "inbound", "first").orderBy(F.desc("inbound"), "first", "id").limit(max(0, k))
+    return known.select("id").join(aims, "id").select("id", "inbound", "first").orderBy(F.desc("inbound"), "first", "id").limit(max(0, k))
 
 
 def with_windows(hits: DataFrame, concepts: DataFrame, query: str) -> DataFrame:
@@ -135,7 +153,7 @@ def with_windows(hits: DataFrame, concepts: DataFrame, query: str) -> DataFrame:
 def search_rows(index: Index, concepts: DataFrame, query: str, k: int = DEFAULT_K, bundle: str | None = None, linked: bool = True) -> DataFrame:
     """Manifest rows of hits and of what they link to: ``place`` (order), ``direct``, the manifest columns, ``pos``."""
     keep = None if bundle is None else concepts.filter(F.col("bundle") == bundle).select("id")
-    hits = search(index, query, k, keep).cache()
+    hits = durable(search(index, query, k, keep), "hits")  # read three times
     direct = with_windows(hits, concepts, query).select("id", F.lit(0).alias("group"), F.struct(F.col("rank").cast("long").alias("a"), F.lit(0).alias("b")).alias("order"), F.col("pos").cast("string").alias("pos"))
     if linked:
         more = expand(hits, concepts, k, bundle)

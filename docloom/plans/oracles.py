@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from ..functions.text import SPACE
+from ..functions.text import LINK, SPACE
 from ..sources import corpora
-from .queries import HALF, HEAD, QUESTION, TENANT, TODAY, TOPIC
+from .queries import HEAD, QUESTION, TENANT, TODAY, TOPIC
 
 ORACLES: dict[str, str] = {}
 
+HALF = "(SELECT (max(event_id) + 1) // 2 FROM events)"
 WS = SPACE
+# Patterns of the document format (fixed values).
 FM = r"^---[ \t]*\r?\n((?s:.*?))\r?\n---[ \t]*(?:\r?\n|$)"
-LINK = r'\[[^\]]*\]\([ \t\r\n]*([^)\s]+)(?:[ \t\r\n]+"[^"]*")?[ \t\r\n]*\)'
 HEADING = r"(?m)^#{1,6}[ \t]+([^\n\r]+?)[ \t]*$"
 
 DOCS = f"docs AS ({corpora.PLAIN})"
@@ -139,11 +140,6 @@ put("manifest", MANIFEST, "SELECT * FROM man")
 put("manifest_bundle", MANIFEST, "SELECT * FROM man WHERE bundle = 'geo'")
 put(
     "serialize",
-    f"""x AS (SELECT 1), {FULL.replace("cat AS (", "cat AS (SELECT * FROM (", 1).replace("), con AS (", ") WHERE bundle IN ('geo', 'supply')), con AS (", 1)}""",
-    f"SELECT bundle, '# bundle: ' || bundle || chr(10) || concat_ws(chr(9), 'id', 'kind', 'status', 'grain', 'summary', 'links') || chr(10) || string_agg(concat_ws(chr(9), local_id, kind, status, grain, summary, {LINK_CELL}), chr(10) ORDER BY local_id) || chr(10) AS tsv FROM concept GROUP BY bundle",
-)
-put(
-    "serialize_catalog",
     FULL,
     f"SELECT bundle, local_id, concat_ws(chr(9), local_id, kind, status, grain, summary, {LINK_CELL}) || chr(10) AS line FROM concept UNION ALL SELECT DISTINCT bundle, '', '# bundle: ' || bundle || chr(10) || concat_ws(chr(9), 'id', 'kind', 'status', 'grain', 'summary', 'links') || chr(10) FROM concept",
 )
@@ -214,6 +210,7 @@ score AS (SELECT id, round(list_sum(list_sort(list(part))), 9) AS score FROM par
 RANKED = "SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM score{} ORDER BY score DESC, id LIMIT 8"
 put("tokenize", DOCS, f"SELECT path, array_to_string({_terms('source')}, ' ') AS terms FROM docs")
 put("postings", PLAIN_TF, "SELECT * FROM tf")
+put("index_build", f"{PLAIN_TF}, {PLAIN_DL}", "SELECT * FROM tf JOIN dl USING (id)")
 put("term_frequencies", CAT_TF, "SELECT * FROM tf")
 put("doc_lengths", f"{PARTS}, {CAT_DL}", "SELECT * FROM dl")
 put("doc_frequency", PLAIN_TF, "SELECT term, count(*) AS df FROM tf GROUP BY term")
@@ -251,13 +248,15 @@ put("best_window", f"{DOCS}, ht AS (SELECT path AS id, source AS body FROM docs)
 put(
     "retrieval_eval",
     f"""{PLAIN_TF}, {PLAIN_DL}, st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS mean FROM dl),
-it AS (SELECT item_id AS qid, coalesce(text, '') AS text FROM benchmark),
-ask AS (SELECT qid, unnest(list_distinct({_terms("array_to_string(string_split(text, ' ')[1:8], ' ')")})) AS term FROM it),
-q AS (SELECT a.qid, t.* FROM tf t JOIN ask a USING (term)), df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM ask) GROUP BY term),
+it AS (SELECT item_id AS qid, text FROM benchmark WHERE text <> ''),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+known AS (SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY df, term) AS r FROM (SELECT qid, unnest(list_distinct({_terms("text")})) AS term FROM it) JOIN df USING (term)),
+ask AS (SELECT qid, term FROM known WHERE r <= 8),
+q AS (SELECT a.qid, t.* FROM tf t JOIN ask a USING (term)),
 part AS (SELECT qid, q.id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) AS part FROM q JOIN df USING (term) JOIN dl USING (id), st),
 score AS (SELECT qid, id, round(list_sum(list_sort(list(part))), 9) AS score FROM part GROUP BY qid, id),
 res AS (SELECT * FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM score) WHERE rank < 8),
-want AS (SELECT qid, path AS id FROM docs, it WHERE contains(source, left(text, 60))),
+want AS (SELECT qid, path AS id FROM docs, it WHERE contains(source, text)),
 best AS (SELECT w.qid, min(rank) AS rank FROM want w LEFT JOIN res r ON r.qid = w.qid AND r.id = w.id GROUP BY w.qid)""",
     "SELECT count(*) AS n_questions, round(avg((rank IS NOT NULL)::INT), 9) AS hit_rate, round(avg(coalesce(1.0 / (rank + 1), 0)), 9) AS mrr FROM best",
 )
@@ -272,8 +271,8 @@ def _state(name: str, where: str = "TRUE") -> str:
     return f"{name} AS (SELECT bundle, path, content AS source FROM (SELECT *, row_number() OVER (PARTITION BY bundle, path ORDER BY seq DESC) AS r FROM log WHERE {where}) WHERE r = 1 AND op = 'write')"
 
 
-CHANGES = f"""{LOG}, {_state("base", f"seq <= {HALF}")},
-late AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bundle, path ORDER BY seq DESC) AS r FROM log WHERE seq > {HALF}) WHERE r = 1),
+CHANGES = f"""{LOG}, {_state("base", f"seq < {HALF}")},
+late AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bundle, path ORDER BY seq DESC) AS r FROM log WHERE seq >= {HALF}) WHERE r = 1),
 chg AS (SELECT op, l.bundle, l.path, CASE WHEN op = 'write' THEN content END AS content, CASE WHEN seq % 3 = 0 THEN sha256('other') ELSE sha256(b.source) END AS replaces FROM late l LEFT JOIN base b ON b.bundle = l.bundle AND b.path = l.path)"""
 put(
     "validate_transaction",
@@ -286,13 +285,13 @@ put("apply_changes", CHANGES, "SELECT bundle, path, source FROM base b WHERE NOT
 put("merge_incremental", DOCS, "SELECT bundle, path, sha256(CASE WHEN bundle = 'src1' THEN 'new ' || source ELSE source END) AS hash FROM docs")
 put("delete_bundle", DOCS, "SELECT bundle, count(*) AS n_documents, sum(octet_length(encode(source)))::BIGINT AS bytes FROM docs WHERE bundle <> 'src2' GROUP BY bundle")
 put("bundle_union", f"{CAT}, {LOG}", "SELECT bundle, max(t) = 1 AS touched FROM (SELECT bundle, 0 AS t FROM cat UNION ALL SELECT bundle, 1 FROM log) GROUP BY bundle")
-put("restore_as_of", f"{LOG}, {_state('base', f'seq <= {HALF}')}", "SELECT * FROM base")
+put("restore_as_of", f"{LOG}, {_state('base', f'seq < {HALF}')}", "SELECT * FROM base")
 
 
 def _digest(docs: str) -> str:
     """The digest of a set of documents, as a scalar subquery."""
-    lanes = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)::VARCHAR AS l{i}" for i in range(4))
-    return f"(SELECT sha256(concat_ws('-', n::VARCHAR, l0, l1, l2, l3)) FROM (SELECT count(*) AS n, {lanes} FROM (SELECT sha256(bundle || '/' || path || chr(0) || sha256(source)) AS h FROM {docs})))"
+    each = f"SELECT substr(sha256(bundle || '/' || path), 1, 3) AS leaf, sha256(bundle || '/' || path || chr(10) || sha256(source)) AS h FROM {docs}"
+    return f"(SELECT sha256(string_agg(leaf || ':' || told, ',' ORDER BY leaf)) FROM (SELECT leaf, sha256(string_agg(h, ',' ORDER BY h)) AS told FROM ({each}) GROUP BY leaf))"
 
 
 put(
@@ -311,7 +310,7 @@ CHAIN = f"RECURSIVE {REV}, chain AS (SELECT revision, 0 AS depth FROM rev WHERE
 put("history_page", CHAIN, "SELECT revision, parent, created, depth::BIGINT AS depth FROM anc WHERE depth >= 5 ORDER BY depth LIMIT 20")
 put("gc_retain", CHAIN, "SELECT revision, snapshot FROM anc WHERE depth < 10")
 put("gc_candidates", CHAIN, "SELECT DISTINCT snapshot AS name FROM rev WHERE snapshot NOT IN (SELECT snapshot FROM anc WHERE depth < 10)")
-COPIES = f"""{CAT}, s AS (SELECT bundle, path, source, try_cast(regexp_extract(path, '(\\d+)', 1) AS BIGINT) AS k FROM cat WHERE bundle = 'sales'),
+COPIES = f"""{CAT}, s AS (SELECT bundle, path, source, coalesce(try_cast(regexp_extract(path, '(\\d+)', 1) AS BIGINT), len(path)) AS k FROM cat),
 p AS (SELECT bundle, path, sha256(source) AS hash FROM s WHERE k % 11 <> 0),
 f AS (SELECT bundle, path, sha256(CASE WHEN k % 5 = 0 THEN source || 'folder' ELSE source END) AS hash FROM s WHERE k % 13 <> 0),
 d AS (SELECT bundle, path, sha256(CASE WHEN k % 7 = 0 AND k % 35 <> 0 THEN source || 'database' ELSE source END) AS hash FROM s WHERE k % 17 <> 0)"""
@@ -327,9 +326,7 @@ put("import_bundles", f"{CAT}, {LOG}, {_state('now')}, st AS (SELECT DISTINCT bu
 put("migration_equivalence", f"{CAT}, a AS (SELECT bundle, path, sha256(source) AS hash FROM cat), b AS (SELECT bundle, path, sha256(CASE WHEN path LIKE '%77.md' THEN upper(source) ELSE source END) AS hash FROM cat)", "SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
 put("export_manifest", CAT, "SELECT bundle || '/' || path AS target, octet_length(encode(source))::BIGINT AS bytes, sha256(source) AS hash FROM cat")
 LITTLE = f"{CAT}, little AS (SELECT * FROM cat WHERE bundle IN ('geo', 'supply'))"
-put("scan_bundle", f"{CAT}, {CON}", "SELECT bundle, path, sha256(source) AS hash FROM con WHERE bundle IN ('geo', 'supply')")
-put("scan_catalog", f"{CAT}, {CON}", "SELECT bundle, path, sha256(source) AS hash FROM con")
+put("scan_bundle", f"{CAT}, {CON}", "SELECT bundle, path, sha256(source) AS hash FROM con")
 put("put_idempotent", LITTLE, f"SELECT 0::BIGINT AS attempt, false AS reused, {_digest('cat')} AS digest UNION ALL SELECT 1, true, {_digest('cat')} UNION ALL SELECT 2, false, {_digest('little')}")
-put("commit_chain", LITTLE, "SELECT d::BIGINT AS depth, true AS follows, (SELECT count(*) FROM little WHERE d <> 1 OR bundle = 'geo')::BIGINT AS n_documents FROM (VALUES (0), (1), (2)) v(d)")
-put("commit_catalog", CAT, "SELECT d::BIGINT AS depth, true AS follows, (SELECT count(*) FROM cat WHERE d <> 1 OR bundle <> 'supply')::BIGINT AS n_documents FROM (VALUES (0), (1), (2)) v(d)")
+put("commit_chain", CAT, "SELECT d::BIGINT AS depth, true AS follows, (SELECT count(*) FROM cat WHERE d <> 1 OR bundle <> 'supply')::BIGINT AS n_documents FROM (VALUES (0), (1), (2)) v(d)")
 put("transact", f"{LOG}, {_state('now')}", "SELECT * FROM now")

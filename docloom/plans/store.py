@@ -1,8 +1,15 @@
 """Versioned collections on a file system: immutable Parquet tables, a chain of revisions, one HEAD that is replaced atomically.
 
-Layout of a tenant: ``sources/<snapshot>`` (documents), ``concepts/<snapshot>`` (compiled), ``revisions/<id>.json``, ``imports/<id>``, ``HEAD``.
-Executors write data files only; a commit is the driver's replacement of HEAD under an exclusive lock. The root is a POSIX folder that driver and
-executors share; an object store would need a conditional put in place of the rename.
+Layout of a tenant: ``sources/<snapshot>`` (documents with their hashes), ``concepts/<snapshot>`` (compiled), ``revisions/<id>.json``,
+``imports/<id>.json`` with its table, ``HEAD``. Executors write data files only; a commit is the driver's replacement of HEAD under an exclusive lock.
+The root is a POSIX folder that driver and executors share; an object store would need a conditional put in place of the rename.
+
+Two locks, always taken in this order. ``RETENTION``: shared by commits from their first staged file to HEAD, and by reads that answer at once; exclusive in
+garbage collection and repair, so that nothing is deleted that a commit is about to name or a read is in. ``LOCK``: exclusive, around the replacement
+of HEAD. DataFrames that are handed out (``documents``, ``concepts``) are lazy and hold no lock: they last as long as their revision is retained.
+
+A batch that only replaces documents leaves all ids as they are. Then only the changed documents are read and compiled, only the files that
+hold them are written again, and the other files of the snapshot are linked into the new one.
 """
 
 from __future__ import annotations
@@ -15,9 +22,11 @@ import os
 import re
 import shutil
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import datetime, timezone
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +40,16 @@ from ..operators import reading as R
 from ..operators import searching as S
 from ..operators import transactions as X
 from ..sources import markdown
+from ..sources.shared import durable
 
 DOC_SCHEMA = "bundle string, path string, source string"
+STORED_SCHEMA = f"{DOC_SCHEMA}, hash string"
+MAPPING_SCHEMA = "bundle string, path string, hash string"
 CHANGE_SCHEMA = "op string, bundle string, path string, content string, replaces string"
 LOCK_SECONDS = 5.0
+MAX_FOLDERS = 64
+#: Bytes of HEAD or of a revision's record.
+MAX_RECORD = 64 << 20
 
 
 class StoreError(Exception):
@@ -61,11 +76,33 @@ class Corruption(StoreError):
     pass
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """``bundle, path, hash``; the stored hash if there is one."""
+    return docs.select("bundle", "path", F.col("hash") if "hash" in docs.columns else T.content_hash(F.col("source")).alias("hash"))
+
+
 def digest_of(docs: DataFrame) -> DataFrame:
-    """``digest`` of a set of documents: sums of parts of their hashes, hashed. Independent of order and file layout, merged before the exchange."""
-    name = F.sha2(F.concat("bundle", F.lit("/"), "path", F.lit("\0"), T.content_hash(F.col("source"))), 256)
-    lanes = [F.sum(F.conv(F.substring(name, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"l{i}") for i in range(4)]
-    return docs.agg(F.count("*").alias("n"), *lanes).select(F.sha2(F.concat_ws("-", F.col("n").cast("string"), *[F.coalesce(F.col(f"l{i}").cast("string"), F.lit("0")) for i in range(4)]), 256).alias("digest"))
+    """``digest`` of a set of documents (or of their ``bundle, path, hash``), independent of order and file layout.
+
+    A hash tree: the hashes of name and content, sorted, are hashed in 4,096 leaves that the first bits of the name's hash choose, and the leaves in their order.
+    """
+    name = F.concat("bundle", F.lit("/"), "path")
+    leaf = F.substring(F.sha2(name, 256), 1, 3)
+    each = _hashed(docs).select(leaf.alias("leaf"), F.sha2(F.concat_ws("\n", name, "hash"), 256).alias("each"))
+    leaves = each.groupBy("leaf").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("each")), ","), 256).alias("told"))
+    whole = F.array_sort(F.collect_list(F.struct("leaf", "told")))  # at most 4,096
+    return leaves.agg(F.sha2(F.array_join(F.transform(whole, lambda x: F.concat(x["leaf"], F.lit(":"), x["told"])), ","), 256).alias("digest"))
+
+
+def _held(method):
+    """A read that answers at once: nothing it reads is deleted meanwhile."""
+
+    @wraps(method)
+    def run(self, *args, **how):
+        with self._retention():
+            return method(self, *args, **how)
+
+    return run
 
 
 class Engine:
@@ -74,6 +111,9 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, tenant: str = "default", observe: Callable[[str], None] = lambda step: None):
         if not re.fullmatch(r"(?i)[a-z0-9][a-z0-9_-]{0,63}", tenant):
             raise InvalidRequest(f"invalid tenant {tenant!r}")
+        root = root.removeprefix("file://")
+        if "://" in root:
+            raise InvalidRequest(f"{root}: the store needs a POSIX folder that driver and executors share")
         self.spark, self.tenant, self.observe = spark, tenant, observe
         self.home = os.path.join(os.path.abspath(root), "tenants", tenant)
         self._indexes: dict[tuple[str, str | None], tuple[S.Index, DataFrame]] = {}
@@ -83,8 +123,14 @@ class Engine:
     def _path(self, *names: str) -> str:
         return os.path.join(self.home, *names)
 
+    def _table(self, *names: str) -> str:
+        """The same for Spark, whatever its default file system is."""
+        return f"file://{self._path(*names)}"
+
     def _read_json(self, path: str) -> dict:
         try:
+            if os.path.getsize(path) > MAX_RECORD:
+                raise Corruption(f"{path}: larger than a record can be")
             with open(path, encoding="utf-8") as f:
                 held = json.load(f)
         except FileNotFoundError as e:
@@ -109,20 +155,28 @@ class Engine:
         os.close(folder)
 
     @contextmanager
-    def _lock(self) -> Iterator[None]:
+    def _hold(self, name: str, exclusive: bool) -> Iterator[None]:
         os.makedirs(self.home, exist_ok=True)
-        with open(self._path("LOCK"), "w") as f:
+        with open(self._path(name), "a") as f:
             deadline = time.monotonic() + LOCK_SECONDS
             while True:
                 try:
-                    fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                    fcntl.flock(f, (fcntl.LOCK_EX if exclusive else fcntl.LOCK_SH) | fcntl.LOCK_NB)
                     break
                 except OSError as e:
                     if time.monotonic() > deadline:
-                        raise Conflict("another writer holds the tenant") from e
-                    time.sleep(0.05)
+                        raise Conflict(f"others hold {name} of the tenant") from e
+                    time.sleep(0.02)
             yield
 
+    def _lock(self):
+        """Around the replacement of HEAD."""
+        return self._hold("LOCK", True)
+
+    def _retention(self, exclusive: bool = False):
+        """Shared while files are staged or read, exclusive while some are deleted. Taken before the other lock."""
+        return self._hold("RETENTION", exclusive)
+
     def head(self) -> dict | None:
         """HEAD: ``revision, snapshot, retained``; None for a new tenant."""
         try:
@@ -144,10 +198,13 @@ class Engine:
     def documents(self, revision: str | None = None) -> DataFrame:
         if revision is None and self.head() is None:
             return self.spark.createDataFrame([], DOC_SCHEMA)
-        return self.spark.read.schema(DOC_SCHEMA).parquet(self._path("sources", self._snapshot(revision)))
+        return self._stored(self._snapshot(revision)).select("bundle", "path", "source")
+
+    def _stored(self, snapshot: str) -> DataFrame:
+        return self.spark.read.schema(STORED_SCHEMA).parquet(self._table("sources", snapshot))
 
     def concepts(self, revision: str | None = None) -> DataFrame:
-        return self.spark.read.parquet(self._path("concepts", self._snapshot(revision)))
+        return self.spark.read.parquet(self._table("concepts", self._snapshot(revision)))
 
     # --- reads ---
 
@@ -159,20 +216,38 @@ class Engine:
             present = sorted(r[0] for r in self.concepts().select("bundle").distinct().collect())
             raise InvalidRequest(f"unknown bundle {name!r}; present: {' '.join(present)}")
 
+    @_held
     def manifest(self, bundle: str | None = None, today: str | None = None) -> str:
         self._bundle(bundle)
         today = today or datetime.now(timezone.utc).date().isoformat()
         return C.serialize_tenant(C.manifest(self.concepts(), today, bundle), self.tenant)
 
-    def diagnostics(self) -> DataFrame:
-        return C.diagnostics(self.concepts())
-
+    def diagnostics(self, bundle: str | None = None, path: str | None = None) -> DataFrame:
+        """Of all documents, of a bundle, or of one document."""
+        concepts = self.concepts()
+        for column, value in (("bundle", bundle), ("path", path)):
+            concepts = concepts if value is None else concepts.filter(F.col(column) == value)
+        return C.diagnostics(concepts)
+
+    @_held
+    def warm(self, today: str | None = None) -> None:
+        """Build the index of the current snapshot before someone asks."""
+        self._index(today or datetime.now(timezone.utc).date().isoformat())
+
+    @_held
+    def stats(self) -> dict:
+        """``concepts, bytes, tokens`` of the current collection."""
+        n, size, tokens = self.concepts().agg(F.count("*"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0)), F.coalesce(F.sum(T.estimate_tokens(F.col("body"))), F.lit(0))).first()
+        return {"concepts": n, "bytes": size, "tokens": tokens}
+
+    @_held
     def get(self, ids: list[str], section: str | None = None, offset: int = 0, limit: int | None = None, find: str | None = None) -> dict[str, dict]:
         """Slices by id, in the order of the request; what isn't there is left out."""
         rows = R.read(R.addressed(R.requested(self.concepts(), ids), section), offset, limit, find).collect()
         found = {r["id"]: r["s"].asDict() for r in rows}
         return {i: found[i] for i in dict.fromkeys(ids) if i in found}
 
+    @_held
     def render(self, ids: list[str], **how) -> str:
         cut = R.render(R.read(R.addressed(R.requested(self.concepts(), ids), how.pop("section", None)), **how), bool(how.get("find"))).collect()
         found = {r["id"]: r["chunk"] for r in cut}
@@ -185,17 +260,14 @@ class Engine:
         if (snapshot, today) not in self._indexes:
             concepts = self.concepts()
             expired = concepts.filter((F.col("stale_after") != "") & (F.col("stale_after") < today) & (F.col("status") == T.EMPTY)).limit(1).count()
-            path = self._path("index", f"{snapshot}-{today if expired else 'always'}")
-            if not os.path.exists(os.path.join(path, "stats", "_SUCCESS")):
-                built = S.search_documents(concepts, today)
-                S.term_frequencies(built).repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-                S.doc_lengths(built).write.mode("overwrite").parquet(f"{path}/stats")
-            stats = self.spark.read.parquet(f"{path}/stats")
-            n, mean = stats.agg(F.count("*"), F.avg("dl")).first()
+            name = f"{snapshot}-{today if expired else 'always'}"
+            if not os.path.exists(self._path("index", name, "stats", "_SUCCESS")):
+                S.write_index(S.search_documents(concepts, today), self._table("index", name))
             shown = concepts.withColumn("status", T.stale_demotion(F.col("status"), F.col("stale_after"), today))
-            self._indexes = {(snapshot, today): (S.Index(self.spark.read.parquet(f"{path}/postings"), stats, n, mean or 0.0), shown)}
+            self._indexes = {(snapshot, today): (S.read_index(self.spark, self._table("index", name)), shown)}
         return self._indexes[snapshot, today]
 
+    @_held
     def search(self, query: str, k: int = S.DEFAULT_K, bundle: str | None = None, expand: bool = True, today: str | None = None) -> str:
         self._bundle(bundle)
         index, concepts = self._index(today or datetime.now(timezone.utc).date().isoformat())
@@ -205,6 +277,7 @@ class Engine:
         lines = [*C.tenant_preamble(self.tenant, bundles), *([f"# bundle: {bundle}"] if bundle else []), f"# query: {query}", f"# hits: {direct} direct, {len(rows) - direct} linked", "\t".join([*C.TENANT_COLUMNS, "pos"])]
         return "\n".join([*lines, *("\t".join(str(r[c]) for c in [*C.TENANT_COLUMNS, "pos"]) for r in rows)]) + "\n"
 
+    @_held
     def advice(self, today: str | None = None) -> str:
         bundles = sorted(r[0] for r in self.concepts().select("bundle").distinct().collect())
         return E.manifest_advice(C.manifest(self.concepts(), today), C.tenant_preamble(self.tenant, bundles)).first()[0]
@@ -212,55 +285,121 @@ class Engine:
     def list_source(self) -> DataFrame:
         return markdown.list_sources(self.documents(), self.concepts())
 
+    @_held
     def read_source(self, bundle: str, path: str) -> dict | None:
         row = markdown.read_source(self.documents(), bundle, path).first()
         return row.asDict() if row else None
 
     # --- commits ---
 
-    def publish(self, docs: DataFrame, expected: str | None, retained: list[str] | None = None) -> dict:
-        """Commit ``docs`` as the next revision, if HEAD still is ``expected``."""
-        snapshot = digest_of(docs).first()[0]
-        if not os.path.exists(self._path("sources", snapshot, "_SUCCESS")):
-            docs.select("bundle", "path", "source").repartitionByRange("bundle", "path").sortWithinPartitions("bundle", "path").write.mode("overwrite").option("compression", "zstd").parquet(self._path("sources", snapshot))
-        self.observe("archive")
-        stored = self.spark.read.schema(DOC_SCHEMA).parquet(self._path("sources", snapshot))
-        if not os.path.exists(self._path("concepts", snapshot, "_SUCCESS")):
-            concepts = C.compile_documents(stored)
-            concepts.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").option("compression", "zstd").parquet(self._path("concepts", snapshot))
-            clash = self.spark.read.parquet(self._path("concepts", snapshot)).groupBy("id").count().filter("count > 1").first()
-            if clash:
-                shutil.rmtree(self._path("concepts", snapshot))
-                raise InvalidRequest(f"ambiguous concept id {clash['id']!r}")
+    def publish(self, docs: DataFrame, expected: str | None, retained: list[str] | None = None, width: int | None = None) -> dict:
+        """Commit ``docs`` as the next revision, if HEAD still is ``expected``. ``width``: of summaries, as before if it isn't given."""
+        width = width or self._width()
+        with self._retention():
+            snapshot = self._name(digest_of(docs).first()[0], width)
+            if not self._whole("sources", snapshot):
+                stored = docs.select("bundle", "path", "source", T.content_hash(F.col("source")).alias("hash"))
+                stored.repartitionByRange("bundle", "path").sortWithinPartitions("bundle", "path").write.mode("overwrite").option("compression", "zstd").parquet(self._table("sources", snapshot))
+            self.observe("archive")
+            if not self._whole("concepts", snapshot):
+                concepts = C.compile_documents(self._stored(snapshot).drop("hash"), width)
+                concepts.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").option("compression", "zstd").parquet(self._table("concepts", snapshot))
+                clash = self.spark.read.parquet(self._table("concepts", snapshot)).groupBy("id").count().filter("count > 1").first()
+                if clash:
+                    shutil.rmtree(self._path("concepts", snapshot))
+                    raise InvalidRequest(f"ambiguous concept id {clash['id']!r}")
+            return self._commit(snapshot, expected, retained, width)
+
+    def replace(self, changes: DataFrame, expected: str) -> dict:
+        """Commit ``changes(bundle, path, content)`` to documents that exist, if HEAD still is ``expected``: what isn't changed is linked, not read."""
+        with self._retention():
+            old, width = self.revision(expected)["snapshot"], self._width()
+            changed = changes.select("bundle", "path", F.col("content").alias("source"), T.content_hash(F.col("content")).alias("hash"))
+            changed = durable(changed, "changes")  # at most a batch
+            key = ["bundle", "path"]
+            after = self._stored(old).select(*key, "hash").join(F.broadcast(changed.select(*key)), key, "left_anti").unionByName(changed.select(*key, "hash"))
+            snapshot = self._name(digest_of(after).first()[0], width)
+            if not self._whole("sources", snapshot):
+                self._rewrite("sources", old, snapshot, changed, lambda held: held.join(F.broadcast(changed.select(*key)), key, "left_anti").unionByName(changed).sortWithinPartitions(*key))
+            self.observe("archive")
+            if not self._whole("concepts", snapshot):
+                ids = self.spark.read.parquet(self._table("concepts", old)).select(*key, "local_id", "id")
+                self._rewrite("concepts", old, snapshot, changed, lambda held: held.join(F.broadcast(changed.select(*key)), key, "left_anti").unionByName(C.compile_documents(changed.drop("hash"), width, ids)).sortWithinPartitions("id"))
+            return self._commit(snapshot, expected, None, width)
+
+    def _rewrite(self, kind: str, old: str, new: str, changed: DataFrame, edit: Callable[[DataFrame], DataFrame]) -> None:
+        """``kind/new`` from ``kind/old``: the files that hold a changed path are written again, the others are linked."""
+        source, staged = self._path(kind, old), self._path(kind, f"{new}.{uuid.uuid4().hex}")
+        every = sorted(n for n in os.listdir(source) if n.endswith(".parquet"))
+        held = self.spark.read.parquet(self._table(kind, old)).select("bundle", "path", F.col("_metadata.file_name").alias("file"))
+        touched = {r["file"] for r in held.join(F.broadcast(changed.select("bundle", "path")), ["bundle", "path"], "left_semi").select("file").distinct().collect()}
+        if touched:
+            edit(self.spark.read.parquet(*[self._table(kind, old, n) for n in sorted(touched)])).coalesce(len(touched)).write.option("compression", "zstd").parquet(f"file://{staged}")
+        else:
+            os.makedirs(staged)
+        for n in every:
+            if n not in touched:
+                os.link(os.path.join(source, n), os.path.join(staged, f"{old[:12]}-{n}" if not n.startswith(old[:12]) else n))
+        open(os.path.join(staged, "_SUCCESS"), "w").close()
+        try:
+            os.rename(staged, self._path(kind, new))
+        except OSError:  # another commit of equal content was first
+            shutil.rmtree(staged)
+            if not self._whole(kind, new):
+                raise
+
+    def _whole(self, kind: str, snapshot: str) -> bool:
+        return os.path.exists(self._path(kind, snapshot, "_SUCCESS"))
+
+    def _width(self) -> int:
+        """The width of summaries that HEAD was compiled with."""
+        return (self.head() or {}).get("width", T.SUMMARY_WIDTH)
+
+    @staticmethod
+    def _name(digest: str, width: int) -> str:
+        """The name of a snapshot: the digest of its documents, which a width of its own goes into."""
+        return digest if width == T.SUMMARY_WIDTH else hashlib.sha256(f"{digest}/{width}".encode()).hexdigest()
+
+    def _commit(self, snapshot: str, expected: str | None, retained: list[str] | None, width: int) -> dict:
+        """Name a staged snapshot in HEAD. The caller holds the retention lock since before it looked for staged files."""
         self.observe("snapshot")
         with self._lock():
             self.observe("locked")
             head = self.head()
             if (head or {}).get("revision") != expected:
                 raise Conflict(f"HEAD is {(head or {}).get('revision')}, not {expected}")
-            record = {"version": 1, "tenant": self.tenant, "parent": expected, "snapshot": snapshot, "created": datetime.now(timezone.utc).isoformat()}
+            if not (self._whole("sources", snapshot) and self._whole("concepts", snapshot)):
+                raise Corruption(f"staged files of {snapshot} are gone")
+            record = {"version": 1, "tenant": self.tenant, "parent": expected, "snapshot": snapshot, "width": width, "created": datetime.now(timezone.utc).isoformat()}
             revision = hashlib.sha256(json.dumps(record, sort_keys=True).encode()).hexdigest()
             self._write_json(self._path("revisions", f"{revision}.json"), record)
             self.observe("revision")
             kept = retained if retained is not None else [*(head or {}).get("retained", []), revision]
             self.observe("head-ready")
-            self._write_json(self._path("HEAD"), {"revision": revision, "snapshot": snapshot, "retained": kept})
+            self._write_json(self._path("HEAD"), {"revision": revision, "snapshot": snapshot, "width": width, "retained": kept})
         try:
             self.observe("head-replaced")
         except Exception as e:
             raise Indeterminate(revision) from e
         return {"revision": revision, "snapshot": snapshot, "reused": bool(head) and head["snapshot"] == snapshot}
 
-    def put(self, docs: DataFrame) -> dict:
+    def _log(self, action: str, result: dict) -> dict:
+        """Note a synchronisation in ``log.jsonl``, a line each."""
+        line = {"at": datetime.now(timezone.utc).isoformat(), "tenant": self.tenant, "action": action, **result}
+        with open(self._path("log.jsonl"), "a", encoding="utf-8") as f:
+            f.write(json.dumps(line, sort_keys=True) + "\n")
+        return result
+
+    def put(self, docs: DataFrame, width: int | None = None) -> dict:
         """Replace the whole collection. An equal one changes nothing."""
         head = self.head()
         self._check_paths(docs)
-        if head and digest_of(docs).first()[0] == head["snapshot"]:
+        if head and width in (None, self._width()) and self._name(digest_of(docs).first()[0], self._width()) == head["snapshot"]:
             return {"revision": head["revision"], "snapshot": head["snapshot"], "reused": True}
-        return self.publish(docs, head and head["revision"])
+        return self.publish(docs, head and head["revision"], width=width)
 
-    def sync(self, folder: str) -> dict:
-        return self.put(markdown.read_folder(self.spark, folder))
+    def sync(self, folder: str, width: int | None = None) -> dict:
+        return self._log("sync", self.put(durable(markdown.read_folder(self.spark, folder), "folder"), width))
 
     def _check_paths(self, docs: DataFrame) -> None:
         bad = docs.filter(~T.is_valid_name(F.col("bundle")) | ~T.is_valid_path(F.col("path"))).select("bundle", "path").first()
@@ -280,9 +419,12 @@ class Engine:
         if problem:
             raise InvalidRequest(problem)
         docs = self.documents()
-        broken = X.preconditions(docs, table).filter(F.col("problem").isNotNull()).orderBy("bundle", "path").first()
+        held = self._stored(head["snapshot"]) if head else docs
+        broken = X.preconditions(held, table).filter(F.col("problem").isNotNull()).orderBy("bundle", "path").first()
         if broken:
             raise Conflict(f"{broken['bundle']}/{broken['path']}: {broken['problem']}")
+        if head and all(c.get("op") == "write" and c.get("replaces") for c in changes):
+            return self.replace(table, head["revision"])
         after = X.apply_changes(docs, table)
         self._check_paths(after)
         return self.publish(after, head and head["revision"])
@@ -329,57 +471,93 @@ class Engine:
         """Publish an earlier revision again, as a new one."""
         if revision not in {r["revision"] for r in self._chain()}:
             raise Missing(revision)
-        if issues := self._verify(self.revision(revision)["snapshot"]):
+        record = self.revision(revision)
+        if issues := self._verify(record):
             raise Corruption("; ".join(issues))
-        return self.publish(self.documents(revision), expected)
+        return self.publish(self.documents(revision), expected, width=record.get("width"))
 
-    def _verify(self, snapshot: str) -> list[str]:
-        issues = []
+    def problems(self, revision: str) -> DataFrame:
+        """``bundle, path, problem``: how the stored concepts of a revision differ from what its documents compile to."""
+        return self._problems(self.revision(revision))
+
+    def _problems(self, record: dict) -> DataFrame:
+        docs = self._stored(record["snapshot"])
+        stale = docs.filter(T.content_hash(F.col("source")) != F.col("hash")).select("bundle", "path", F.lit("stored hash differs").alias("problem"))
+        again = C.compile_documents(docs.drop("hash"), record.get("width", T.SUMMARY_WIDTH))
+        return stale.unionByName(H.differing(again, self.spark.read.parquet(self._table("concepts", record["snapshot"]))))
+
+    def _verify(self, record: dict, limit: int = 20) -> list[str]:
+        """Issues of a revision; of many documents that differ the first ``limit`` are named and the others counted."""
+        issues, snapshot = [], record["snapshot"]
         try:
-            docs = self.spark.read.schema(DOC_SCHEMA).parquet(self._path("sources", snapshot))
-            if digest_of(docs).first()[0] != snapshot:
+            body = {k: v for k, v in record.items() if k != "revision"}
+            revision = hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()
+            if record.get("revision", revision) != revision:
+                issues.append(f"revisions/{record['revision']}: content differs from its name")
+            docs = self._stored(snapshot)
+            self._check_paths(docs)
+            if self._name(digest_of(docs.drop("hash")).first()[0], record.get("width", T.SUMMARY_WIDTH)) != snapshot:
                 issues.append(f"sources/{snapshot}: content differs from its digest")
-            held = self.spark.read.parquet(self._path("concepts", snapshot))
-            again = C.parse_frontmatter(markdown.concept_documents(docs)).select("bundle", "path", F.col("body").alias("source"))
-            told = held.select("bundle", "path", F.col("body").alias("source"))
-            for r in H.consistency(I.hashes(again), I.hashes(told)).orderBy("bundle", "path").limit(20).collect():
-                issues.append(f"concepts/{snapshot}: {r['bundle']}/{r['path']}: {r['problem']}")
+            found = durable(self._problems(record), "problems")
+            issues += [f"concepts/{snapshot}: {r['bundle']}/{r['path']}: {r['problem']}" for r in found.orderBy("bundle", "path").limit(limit).collect()]
+            if (n := found.count()) > limit:
+                issues.append(f"concepts/{snapshot}: {n - limit} more")
         except Exception as e:  # whatever a damaged file raises is an issue to report
             issues.append(f"{snapshot}: {type(e).__name__}: {str(e).splitlines()[0][:200]}")
         return issues
 
-    def verify(self) -> list[str]:
-        """What is wrong with the retained revisions; empty if nothing is."""
+    @_held
+    def verify(self, revision: str | None = None) -> list[str]:
+        """What is wrong with the retained revisions and the import mappings (or with one revision); empty if nothing is."""
         try:
-            chain = self._chain()
+            if revision is not None:
+                return self._verify({"revision": revision, **self.revision(revision)})
+            head, chain = self.head(), self._chain()
+            issues = [] if not head or {r["revision"] for r in chain} == set(head["retained"]) else ["HEAD: retained revisions are not one line of ancestors"]
         except StoreError as e:
             return [str(e)]
-        return [i for s in dict.fromkeys(r["snapshot"] for r in chain) for i in self._verify(s)]
+        for name in self._import_names():
+            try:
+                self._mapping(name).count()
+            except Exception as e:  # as above
+                issues.append(f"imports/{name}: {type(e).__name__}: {str(e).splitlines()[0][:200]}")
+        seen = {}
+        for r in chain:
+            if r["snapshot"] not in seen:
+                seen[r["snapshot"]] = self._verify(r)
+                issues += seen[r["snapshot"]]
+        return issues
 
     def repair(self, expected: str) -> dict:
         """Keep only the newest retained revision that verifies; the old HEAD stays in ``recovery/``."""
-        head = self.head()
-        if head is None or head["revision"] != expected:
-            raise Conflict("HEAD is another revision")
-        for revision in reversed(head["retained"]):
-            record = self.revision(revision)
-            if not self._verify(record["snapshot"]):
-                with self._lock():
-                    self._write_json(self._path("recovery", f"{expected}.json"), head)
-                    self._write_json(self._path("HEAD"), {"revision": revision, "snapshot": record["snapshot"], "retained": [revision]})
-                return {"revision": revision, "snapshot": record["snapshot"]}
+        with self._retention(exclusive=True):
+            head = self.head()
+            if head is None or head["revision"] != expected:
+                raise Conflict("HEAD is another revision")
+            for revision in reversed(head["retained"]):
+                record = self.revision(revision)
+                if not self._verify({"revision": revision, **record}):
+                    with self._lock():
+                        if self.head() != head:
+                            raise Conflict("HEAD is another revision")
+                        self._write_json(self._path("recovery", f"{expected}.json"), head)
+                        self._write_json(self._path("HEAD"), {"revision": revision, "snapshot": record["snapshot"], "width": record.get("width", T.SUMMARY_WIDTH), "retained": [revision]})
+                    return {"revision": revision, "snapshot": record["snapshot"]}
         raise Corruption("no retained revision verifies")
 
     def gc(self, keep: int = H.KEEP, dry_run: bool = False) -> dict:
-        """Keep the newest revisions, which must verify, and delete what no kept one names."""
-        with self._lock():
+        """Keep the newest revisions, which must all verify, and delete what no kept one names."""
+        if keep < 1:
+            raise InvalidRequest("keep must be at least 1")
+        with self._retention(exclusive=True), self._lock():
             chain = self._chain()
-            kept = chain[: max(1, keep)]
-            if issues := [i for r in kept[:1] for i in self._verify(r["snapshot"])]:
+            kept = chain[:keep]
+            if issues := [i for r in {r["snapshot"]: r for r in kept}.values() for i in self._verify(r)]:
                 raise Corruption("; ".join(issues))
             revisions, snapshots = {r["revision"] for r in kept}, {r["snapshot"] for r in kept}
+            mappings = {n for name in self._import_names() for n in (f"{name}.json", self._read_json(self._path("imports", f"{name}.json"))["table"])}
             gone = []
-            for kind, alive in (("revisions", {f"{r}.json" for r in revisions}), ("sources", snapshots), ("concepts", snapshots)):
+            for kind, alive in (("revisions", {f"{r}.json" for r in revisions}), ("sources", snapshots), ("concepts", snapshots), ("imports", mappings)):
                 folder = self._path(kind)
                 gone += [os.path.join(kind, n) for n in sorted(os.listdir(folder)) if n not in alive] if os.path.isdir(folder) else []
             if os.path.isdir(self._path("index")):
@@ -390,37 +568,61 @@ class Engine:
                 for name in gone:
                     target = self._path(name)
                     shutil.rmtree(target) if os.path.isdir(target) else os.remove(target)
-            return {"kept": len(kept), "removed": gone}
+            return {"kept": len(kept), "removed": gone if chain else []}
 
     # --- interchange ---
 
-    def import_folder(self, folder: str) -> dict:
-        """Three-way import: what the folder changed since its last import, unless the database changed it too."""
-        name = hashlib.sha256(os.path.abspath(folder).encode()).hexdigest()
-        head, docs = self.head(), self.documents()
-        found = markdown.read_folder(self.spark, folder)
-        self._check_paths(found)
+    def _import_names(self) -> list[str]:
+        folder = self._path("imports")
+        return sorted(n.removesuffix(".json") for n in os.listdir(folder) if n.endswith(".json")) if os.path.isdir(folder) else []
+
+    def _mapping(self, name: str) -> DataFrame:
+        """``bundle, path, hash`` of a folder as it was last imported."""
         try:
-            last = self._read_json(self._path("imports", f"{name}.json"))
-            previous = self.spark.createDataFrame([tuple(x) for x in last["rows"]], "bundle string, path string, hash string") if last["rows"] else None
+            told = self._read_json(self._path("imports", f"{name}.json"))
         except Missing:
-            previous = None
-        if previous is None:
-            previous = self.spark.createDataFrame([], "bundle string, path string, hash string")
-        now = I.hashes(found)
-        plan = I.three_way(previous, now, I.hashes(docs)).filter("action NOT IN ('keep', 'same')").cache()
-        clash = plan.filter("action = 'conflict'").orderBy("bundle", "path").first()
-        if clash:
-            raise Conflict(f"{clash['bundle']}/{clash['path']} changed in the folder and in the database")
-        result = {"revision": head and head["revision"], "snapshot": head and head["snapshot"], "reused": True}
-        if plan.limit(1).count():
-            content = found.select("bundle", "path", F.col("source").alias("content"))
-            changes = plan.select("bundle", "path", F.when(F.col("action") == "delete", F.lit("delete")).otherwise(F.lit("write")).alias("op")).join(content, ["bundle", "path"], "left")
-            result = self.publish(X.apply_changes(docs, changes), head and head["revision"])
-        # the mapping of a folder: a row for each of its files, which the driver has listed
-        self._write_json(self._path("imports", f"{name}.json"), {"folder": os.path.abspath(folder), "rows": sorted([r["bundle"], r["path"], r["hash"]] for r in now.collect())})
+            return self.spark.createDataFrame([], MAPPING_SCHEMA)
+        return self.spark.read.schema(MAPPING_SCHEMA).parquet(self._table("imports", told["table"]))
+
+    def import_folder(self, folder: str, **how) -> dict:
+        return self.import_folders([folder], **how)
+
+    def import_folders(self, folders: list[str], width: int | None = None) -> dict:
+        """Three-way import, in one commit: what each folder changed since its last import, unless the database changed it too.
+
+        No two folders may hold one bundle. Another ``width`` of summaries compiles all documents again.
+        """
+        if not 1 <= len(folders) <= MAX_FOLDERS:
+            raise InvalidRequest(f"import takes 1 to {MAX_FOLDERS} folders")
+        names = {hashlib.sha256(os.path.abspath(f).encode()).hexdigest(): f for f in folders}
+        with self._retention():
+            head, docs = self.head(), self.documents()
+            found = durable(reduce(DataFrame.unionByName, [markdown.read_folder(self.spark, f).withColumn("of", F.lit(n)) for n, f in names.items()]), "import")
+            twice = found.groupBy("bundle").agg(F.count_distinct("of").alias("n")).filter("n > 1").first()
+            if twice:
+                raise InvalidRequest(f"two folders hold the bundle {twice['bundle']!r}")
+            self._check_paths(found)
+            previous = reduce(DataFrame.unionByName, map(self._mapping, names))
+            now = I.hashes(found)
+            plan = durable(I.three_way(previous, now, I.hashes(docs)).filter("action NOT IN ('keep', 'same')"), "import-plan")
+            clash = plan.filter("action = 'conflict'").orderBy("bundle", "path").first()
+            if clash:
+                raise Conflict(f"{clash['bundle']}/{clash['path']} changed in the folder and in the database")
+            result = {"revision": head and head["revision"], "snapshot": head and head["snapshot"], "reused": True}
+            if plan.limit(1).count() or (width or self._width()) != self._width():
+                content = found.select("bundle", "path", F.col("source").alias("content"))
+                changes = plan.select("bundle", "path", F.when(F.col("action") == "delete", F.lit("delete")).otherwise(F.lit("write")).alias("op")).join(content, ["bundle", "path"], "left")
+                result = self.publish(X.apply_changes(docs, changes), head and head["revision"], width=width)
+            for name, folder in names.items():
+                held = I.hashes(found.filter(F.col("of") == name))
+                if name in self._import_names() and not I.differences(self._mapping(name), held).limit(1).count():
+                    continue
+                mapping = f"{name}-{uuid.uuid4().hex}"
+                held.write.parquet(self._table("imports", mapping))
+                self._write_json(self._path("imports", f"{name}.json"), {"folder": os.path.abspath(folder), "table": mapping})
         return result
 
+    @_held
     def export_folder(self, target: str) -> int:
         """Write every document to a new folder; an existing one is refused. Files appear all at once."""
         if os.path.exists(target):
@@ -446,9 +648,26 @@ class Engine:
         os.rename(staged, target)
         return n
 
+    @_held
     def migrate_from(self, other: Engine) -> dict:
         """Take over another tenant's collection and prove that nothing changed."""
         done = self.publish(other.documents(), None)
         if I.differences(I.hashes(other.documents()), I.hashes(self.documents())).limit(1).count() or other.manifest(today="0000-00-00").split("\n", 1)[1] != self.manifest(today="0000-00-00").split("\n", 1)[1]:
             raise Corruption("the copy differs")
         return done
+
+
+def tenants(root: str) -> list[str]:
+    folder = os.path.join(os.path.abspath(root), "tenants")
+    return sorted(n for n in os.listdir(folder) if os.path.exists(os.path.join(folder, n, "HEAD"))) if os.path.isdir(folder) else []
+
+
+def gc_all(spark: SparkSession, root: str, keep: int = H.KEEP, dry_run: bool = False) -> dict[str, dict | str]:
+    """Garbage collection of every tenant below ``root``; a tenant that cannot be collected is told by its error and left alone."""
+    out: dict[str, dict | str] = {}
+    for tenant in tenants(root):
+        try:
+            out[tenant] = Engine(spark, root, tenant).gc(keep, dry_run)
+        except StoreError as e:
+            out[tenant] = f"{type(e).__name__}: {e}"
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -36,3 +37,19 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the names, sizes and times of the files below ``paths``; of those that exist."""
+    told = hashlib.sha256()
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.exists(target):
+            continue
+        files, found = system.listFiles(target, True), []
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+        told.update("\n".join(sorted(found)).encode())
+    return told.hexdigest()

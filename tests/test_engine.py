@@ -225,3 +225,137 @@ def test_command_line(spark, tmp_path, capsys):
     assert ask("get", "notes", "--limit", "3").startswith("@@ notes [0..3 of")
     assert "notes" in ask("search", "loose notes", "-k", "1", "--no-expand")
     assert ask("verify") == "ok"
+    assert ask("read", "shop", "notes.md").startswith("# Loose")
+    held = engine.read_source("shop", "notes.md")["hash"]
+    (tmp_path / "new.md").write_text("# Written\n")
+    assert "revision" in ask("write", "shop", "notes.md", "--from", str(tmp_path / "new.md"), "--replaces", held)
+    assert "revision" in ask("delete", "shop", "notes.md", "--replaces", engine.read_source("shop", "notes.md")["hash"])
+    assert "concepts" in ask("stats") and "unresolved" in ask("diagnostics", "--bundle", "shop", "--path", "tables/orders.md") and not ask("diagnostics", "--path", "none.md")
+    assert ask("compile", str(tmp_path / "tree")).startswith("# tenant: default")
+    with pytest.raises(InvalidRequest):
+        ask("compile", str(tmp_path / "tree"), "--strict")
+    assert len(open(engine._path("log.jsonl")).readlines()) == 1
+
+
+def test_collection_beside_a_commit_removes_nothing_it_names(spark, tmp_path, monkeypatch):
+    """At every step of a commit another process tries to collect: it must wait, and HEAD must name whole files whatever it did."""
+    from docloom.plans import store
+
+    monkeypatch.setattr(store, "LOCK_SECONDS", 0.1)
+    engine, other = Engine(spark, str(tmp_path)), Engine(spark, str(tmp_path))
+    engine.put(table(spark, {("b", "a.md"): "one\n"}))
+    told = {}
+
+    def collect(step):
+        try:
+            told[step] = other.gc(1)
+        except Conflict as e:
+            told[step] = e
+
+    engine.observe = collect
+    engine.write_source("b", "b.md", "two\n")
+    assert all(isinstance(told[s], Conflict) for s in ("archive", "snapshot", "locked", "revision", "head-ready"))
+    engine.write_source("b", "a.md", "three\n", engine.read_source("b", "a.md")["hash"])
+    engine.observe = lambda step: None
+    assert engine.verify() == [] and engine.documents().count() == 2
+    engine.gc(1)
+    assert engine.verify() == [] and {r["source"] for r in engine.documents().collect()} == {"two\n", "three\n"}
+    with engine._retention(), pytest.raises(Conflict):
+        other.gc(1)
+
+
+def test_a_commit_whose_staged_files_are_gone_is_refused(spark, tmp_path):
+    import shutil
+
+    from docloom.plans.store import Corruption
+
+    engine = Engine(spark, str(tmp_path))
+    engine.put(table(spark, {("b", "a.md"): "one\n"}))
+    before = engine.head()
+    engine.observe = lambda step: shutil.rmtree(engine._path("sources", [n for n in os.listdir(engine._path("sources")) if n != before["snapshot"]][0])) if step == "locked" else None
+    with pytest.raises(Corruption):
+        engine.write_source("b", "b.md", "two\n")
+    assert engine.head() == before
+
+
+def test_replacing_commits_touch_only_what_changes(spark, tmp_path):
+    files = {("b", f"n{i:03}.md"): f"# N{i}\n\nSee [next](n{(i + 1) % 40:03}.md) and [gone](x{i}.md).\n" for i in range(40)}
+    engine, fresh = Engine(spark, str(tmp_path), "a"), Engine(spark, str(tmp_path), "b")
+    engine.put(table(spark, files))
+    old = engine.head()["snapshot"]
+    change = {("b", "n003.md"): "# N3\n\nNow [back](n001.md).\n", ("b", "n030.md"): "# Other\n\nNo link.\n"}
+    engine.transact([{"op": "write", "bundle": b, "path": p, "content": s, "replaces": engine.read_source(b, p)["hash"]} for (b, p), s in change.items()])
+    new = engine.head()["snapshot"]
+    fresh.put(table(spark, files | change))
+    assert new == fresh.head()["snapshot"] and engine.verify() == []
+    rows = lambda e: sorted(map(str, e.concepts().select(*sorted(e.concepts().columns)).collect()))
+    assert rows(engine) == rows(fresh)
+    inodes = lambda kind, s: {os.stat(os.path.join(engine._path(kind, s), n)).st_ino for n in os.listdir(engine._path(kind, s)) if n.endswith(".parquet")}
+    for kind in ("sources", "concepts"):
+        # the files without a change are the same files
+        assert inodes(kind, old) & inodes(kind, new) if len(inodes(kind, old)) > 2 else True
+    engine.gc(1)
+    assert engine.verify() == [] and engine.documents().count() == 40
+
+
+def test_verify_names_cells_links_and_ancestry(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    engine.put(table(spark, {("b", "a.md"): "# A\n\n[b](b.md)\n", ("b", "b.md"): "# B\n"}))
+    folder = engine._table("concepts", engine.head()["snapshot"])
+    held = spark.createDataFrame(spark.read.parquet(folder).collect(), spark.read.parquet(folder).schema)
+    held.withColumn("links", F.array().cast("array<string>")).withColumn("summary", F.when(F.col("path") == "b.md", F.lit("forged")).otherwise(F.col("summary"))).write.mode("overwrite").parquet(folder)
+    spark.catalog.clearCache()
+    issues = engine.verify()
+    assert any("b/a.md: differs in links" in i for i in issues) and any("b/b.md: differs in summary" in i for i in issues)
+    head = engine.head()
+    engine._write_json(engine._path("HEAD"), head | {"retained": [*head["retained"], "0" * 64]})
+    assert any("ancestors" in i for i in engine.verify())
+    with pytest.raises(Exception):
+        engine.gc(1)
+
+
+def test_many_folders_and_a_new_width(spark, tmp_path):
+    for f, files in {"one": {("x", "a.md"): "word " * 60}, "two": {("y", "b.md"): "# B\n"}}.items():
+        write_tree(tmp_path / f, files)
+    engine = Engine(spark, str(tmp_path / "data"))
+    both = [str(tmp_path / "one"), str(tmp_path / "two")]
+    first = engine.import_folders(both)
+    assert engine.import_folders(both)["reused"] and {r["bundle"] for r in engine.documents().collect()} == {"x", "y"}
+    longest = lambda: max(len(r["summary"]) for r in engine.concepts().collect())
+    wide = longest()
+    again = engine.import_folders(both, width=40)
+    assert again["snapshot"] != first["snapshot"] and longest() <= 41 < wide and engine.verify() == []
+    engine.write_source("y", "b.md", "# B\n\n" + "long " * 60, engine.read_source("y", "b.md")["hash"])
+    assert longest() <= 41 and engine.verify() == []
+    write_tree(tmp_path / "two", {("x", "c.md"): "c"})
+    with pytest.raises(InvalidRequest):
+        engine.import_folders(both)
+    with pytest.raises(InvalidRequest):
+        engine.import_folders([])
+
+
+def test_all_tenants_are_collected(spark, tmp_path):
+    from docloom.plans.store import gc_all
+
+    for t in ("a", "b"):
+        e = Engine(spark, str(tmp_path), t)
+        e.put(table(spark, {("b", "a.md"): "one\n"}))
+        e.put(table(spark, {("b", "a.md"): "two\n"}))
+    told = gc_all(spark, str(tmp_path), 1)
+    assert set(told) == {"a", "b"} and all(t["kept"] == 1 and t["removed"] for t in told.values())
+
+
+def test_a_root_that_is_no_posix_folder_is_refused(spark):
+    with pytest.raises(InvalidRequest):
+        Engine(spark, "hdfs://there/data")
+
+
+def test_ill_formed_text_is_refused_and_a_mark_kept(spark, tmp_path):
+    from docloom.sources.markdown import read_folder
+
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "a.md").write_bytes(b"\xef\xbb\xbf# marked\n")
+    assert read_folder(spark, str(tmp_path)).first()["source"] == "\ufeff# marked\n"
+    (tmp_path / "b" / "c.md").write_bytes(b"bad \xff\xfe\n")
+    with pytest.raises(Exception):
+        read_folder(spark, str(tmp_path)).collect()

@@ -23,8 +23,3 @@ def test_entry_module(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 8
-
-
-def test_whole_catalog_is_serialized_and_scanned(spark, small):
-    for name in ("serialize_catalog", "scan_catalog"):
-        assert {r["bundle"] for r in QUERIES[name](spark, small).select("bundle").distinct().collect()} == {"geo", "sales", "supply"}
