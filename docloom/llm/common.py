@@ -59,16 +59,19 @@ def small(df: DataFrame, rows: int, limit: int | None = None) -> DataFrame:
 
 
 def join_counted(rows: DataFrame, told: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``rows`` with ``value`` of ``told(*keys, many, value)``, null where it has none. ``many`` counts the rows of a key.
+    """``rows`` with ``value`` of ``told(*keys, many, value)``, null where it has none. ``many`` counts the rows of a key; ``told`` is stored.
 
-    Up to ``BROADCAST_ROWS`` keys are broadcast; of more keys only the commonest are, at most that many, so that none of them meets in one task.
+    Up to ``BROADCAST_ROWS`` keys and ``BROADCAST_BYTES`` are broadcast; of more, only the commonest keys are, as many as fit, so that none of them meets in one task.
     """
     told = told.select(*keys, "many", value)
     n, total = told.agg(F.count("*"), F.sum("many")).first()
-    if n <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(told.drop("many")), keys, "left")
-    hot = F.col("many") > total // BROADCAST_ROWS
+    least = 0 if n <= BROADCAST_ROWS else total // BROADCAST_ROWS
+    while table_bytes(told.filter(F.col("many") > least)) > BROADCAST_BYTES:
+        least = 4 * least + 1
+    hot = F.col("many") > least
     first = rows.join(F.broadcast(told.filter(hot).drop("many")), keys, "left")
+    if not least:
+        return first
     rest = first.filter(F.col(value).isNull()).drop(value).join(told.filter(~hot).drop("many"), keys, "left")
     return first.filter(F.col(value).isNotNull()).unionByName(rest)
 
