@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import python as P
 from ..functions import text as T
 from ..sources.markdown import concept_documents
-from ..sources.shared import durable
+from ..sources.shared import durable, spread
 
 COLUMNS = ["id", "kind", "status", "grain", "summary", "links"]
 TENANT_COLUMNS = ["id", "bundle", "kind", "status", "grain", "summary", "links"]
@@ -32,7 +32,7 @@ def parse_frontmatter(docs: DataFrame) -> DataFrame:
     Documents are split once, into a stored table, which all later steps read. Simple heads stay in the JVM; only the others go
     to the YAML reader.
     """
-    split = durable(split_frontmatter(docs), "split")
+    split = durable(split_frontmatter(spread(docs)), "split")
     field = lambda k: F.btrim(F.regexp_extract("head", rf"(?:\A|\n){k}:[ \t]+([^\n\r]*)", 1), F.lit(" \t"))
     plain = split.filter("simple").select("*", *[field(k).alias(k) for k in P.KEYS], F.col("head").rlike(r"(?:\A|\n)stale_after:").alias("has_stale_after"), F.lit(None).cast("string").alias("error"))
     other = split.filter("NOT simple").withColumn("f", P.frontmatter_fields("head")).select(*split.columns, *[F.col(f"f.{k}").alias(k) for k in P.KEYS], "f.has_stale_after", "f.error")

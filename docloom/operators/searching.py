@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import python as P
 from ..functions import text as T
-from ..sources.shared import durable, scratch_path
+from ..sources.shared import durable, scratch_path, spread
 
 K1, B = 1.2, 0.75
 WEIGHTS = {"body": 1, "fields": 2, "names": 4}
@@ -40,7 +40,7 @@ def plain_documents(docs: DataFrame, id_: Column, text: Column) -> DataFrame:
 def tokenized(documents: DataFrame) -> DataFrame:
     """``id, w, terms``: each part of each document with its weight, in one pass. Only texts that aren't vetted reach the exact tokenizer."""
     each = F.explode(F.array(*[F.struct(F.col(p).alias("text"), F.lit(w).cast("long").alias("w")) for p, w in WEIGHTS.items()]))
-    parts = documents.select("id", each.alias("p")).select("id", "p.text", "p.w")
+    parts = spread(documents).select("id", each.alias("p")).select("id", "p.text", "p.w")
     parts = parts.withColumn("odd", F.when(~T.is_vetted(F.col("text")), F.col("text")))
     return parts.select("id", "w", F.when(F.col("odd").isNull(), T.tokens(F.col("text"))).otherwise(P.tokens_exact("odd")).alias("terms"))
 

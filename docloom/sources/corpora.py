@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import spread
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: Every text as a plain Markdown file: bundle = source, path = language/id.
@@ -80,10 +82,10 @@ def register_tables(spark: SparkSession, sf_dir: str) -> None:
 
 
 def corpus(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
-    """The documents of ``statement`` over the tables of ``sf_dir``."""
+    """The documents of ``statement`` over the tables of ``sf_dir``, on all cores however small those are."""
     import re
 
     for t in TABLES:
         if re.search(rf"\b{t}\b", statement):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(statement)
+    return spread(spark.sql(statement))

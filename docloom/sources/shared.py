@@ -39,6 +39,17 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes for each core below which an input may come in fewer pieces than there are cores.
+FEW_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly to all cores if it is small and comes in few files, so that they cannot share it; other inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < cores * FEW_BYTES and len(df.inputFiles()) < 2 * cores else df
+
+
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """A digest of the names, sizes and times of the files below ``paths``; of those that exist."""
     told = hashlib.sha256()
