@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import durable, scratch_path
+from ..sources.shared import durable, scratch_path, spread
 
-__all__ = ["BROADCAST_ROWS", "SPACE_CLASS", "WORD", "ascii_lower", "durable", "input_bytes", "join_counted", "one_text", "parts", "scratch_path", "small", "table_bytes", "word_count"]
+__all__ = ["BROADCAST_ROWS", "SPACE_CLASS", "WORD", "ascii_lower", "durable", "input_bytes", "join_counted", "one_text", "parts", "scratch_path", "small", "spread", "table_bytes", "word_count"]
 
 #: The six ASCII white-space characters of the word rule ``[^\x20\x09-\x0D]+``; bytes.split() uses the same six.
 SPACE_CLASS = r"[\x20\x09-\x0D]"

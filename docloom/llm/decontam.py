@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, durable, small
+from .common import BROADCAST_ROWS, ascii_lower, durable, small, spread
 
 WINDOW = 13
 #: A document is contaminated if hits * SHARE >= words.
@@ -96,7 +96,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """One row for each document: words, words hit, items that occur, and whether it is contaminated."""
-    docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
+    docs, items = spread(docs.select("doc_id", "text")), items.select("item_id", "text")
     found = durable(occurrences(docs, items, window), "decontam-hits")
     one = ["doc_id", "text_hash"]
     hits = found.select(*one, F.explode(F.sequence("first", "last")).alias("at")).distinct().groupBy(*one).agg(F.count("*").alias("n_hit"))

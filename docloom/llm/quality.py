@@ -5,7 +5,8 @@ documents of a batch at once. The score never rises with symbols, capitals, excl
 The trees are fitted on at most ``TRAIN_ROWS`` labelled documents, drawn by hash.
 
 Defined results: null and empty texts have no words and fail the base rule; without labels, or with one class only, the base rule
-alone decides; several labels of one document count as their largest; of rows that share an id one is learned from, and each is judged; an empty table gives no rows.
+alone decides; several labels of one document count as their largest; of rows that share an id one is learned from, and each is judged; an empty table gives no rows;
+other columns are ignored or come back unchanged, so that their names cannot clash.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import one_text
+from .common import one_text, spread
 
 TRAIN_ROWS = 20_000
 MIN_WORDS = 50
@@ -96,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> gbt.For
 
 def judge(docs: DataFrame, labels: DataFrame, *, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
     """Statistics and verdict of every document: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score``."""
-    scored = document_statistics(docs.select("doc_id", "text"), train(docs, labels, rows))
+    scored = document_statistics(spread(docs.select("doc_id", "text")), train(docs, labels, rows))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.select("doc_id", *STATISTICS[:5], failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")
 

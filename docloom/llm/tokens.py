@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Merged pre-tokens that a worker remembers before it starts anew.
@@ -139,7 +141,7 @@ def count_tokens(docs: DataFrame, *, vocabulary: str = VOCABULARY, key: str = "d
             tokens = pa.array([c.count(t) if t else 0 for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), tokens], names=["doc_id", "n_bytes", "n_tokens"])
 
-    size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), size.alias("n_bytes"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    rows = spread(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "text", size.alias("n_bytes"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
