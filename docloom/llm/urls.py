@@ -97,7 +97,8 @@ def sample_of(urls: DataFrame, rows: int) -> DataFrame:
 
 def train(full: DataFrame, rows: int = TRAIN_ROWS) -> gbt.Forest | None:
     """Trees for the labelled urls of ``full`` (as ``with_suffixes`` returns it); none if there are not both classes."""
-    sample = sample_of(full, rows).drop("u", "draw").collect()  # a dozen numbers a row
+    # stored first: collected at once, every task would send the driver as many rows as the sample may have
+    sample = sorted(durable(sample_of(full, rows).drop("u", "draw"), "url-sample").collect(), key=tuple)
     x = np.array([[r["suffix_crossed" if f == "suffix_blocked" else f] for f in FEATURES] for r in sample], float).reshape(-1, len(FEATURES))
     y = np.array([r["ruled"] == "block" for r in sample], float)
     return gbt.fit(x, y, trees=30, depth=3) if 0 < y.sum() < len(y) else None
