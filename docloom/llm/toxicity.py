@@ -6,12 +6,13 @@ substitution, picks the likeliest plain word. Every token is decoded, of any len
 or a doubled letter; it counts as all its readings: restored, as it stands, and with the signs at its ends read as letters. Restored and plain
 words are then scored alike. In runs of single letters, digits and signs
 (at least two of them and a letter among them, of any length and with separators of any width) a separator may be nothing or a word break: the
-character model and how often a word stands in the labelled sample decide where words start and end.
+character model and how often a word stands in labelled documents decide where words start and end.
 
-Four things are learned, no label of a held-out row among them: the character model, from all texts; the words of at least ``MIN_DOCS`` documents
-of the sample, whatever their labels; weights of words and word stems, from
-labelled documents; and boosted trees over what weights say of a document, where each half of the sample is told by the weights
-of the other half. The labelled sample is bounded by ``TRAIN_ROWS``, drawn by hash.
+Four things are learned, no label of a held-out row among them: the character model, from all texts; words that are common enough in
+labelled documents, whatever their labels; weights of words and word stems, from
+labelled documents; and boosted trees over what weights say of a document, where each half of the documents is told by the weights
+of the other half. All labelled documents outside the held-out fold are learned from, none is left out: texts are counted where they lie, and the
+trees are fitted to the numbers of documents in the cells of a fixed grid, so the driver holds counts alone.
 
 Defined results: a null or empty text has no words and gets the score of one; without labels, or with one class only, every score
 is 0; several labels of one document count as their largest; of rows that share an id one is learned from, and each is scored; an empty table gives no rows;
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log
 from zlib import crc32
 
@@ -32,9 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import durable, one_text, spread
+from .common import durable, one_text, small, spread
 
-TRAIN_ROWS = 20_000
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Letters that a sign may stand for, and what a substitution costs (fixed values of the channel).
@@ -49,6 +49,13 @@ STEMS = (4, 5, 6)
 MIN_DOCS, MIN_WEIGHT, MAX_WEIGHT = 3, 2.0, 5.0
 #: How many standard errors the log odds of a word must be from none; more data never makes a word weightless.
 MIN_ERRORS = 2.5
+#: A known word is in one of so many documents, or in ``MIN_DOCS`` if those are more: what is rarer says nothing against a misspelling.
+RARE = 6_667
+#: Bits of a filter of terms: more terms only make it let more through.
+FILTER_BITS = 20
+#: Where the grid that trees are fitted to is cut, for each value of ``evidence``.
+_STRONG = [0.0, *np.arange(MIN_WEIGHT, MAX_WEIGHT, 0.25).tolist()]
+GRID = [[0.0, 1, 2, 3, 4, 6, 9, 14, 20, 30, 50, 100], _STRONG, _STRONG, _STRONG, [0.0, 0.001, 0.002, 0.005, 0.01, 0.015, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.35, 0.5]]
 #: The model's bound: so many words and stems, those of the largest weight.
 MAX_TERMS = 20_000
 
@@ -279,18 +286,32 @@ class _Weights(dict):
             held = further
         return any(word in self.terms for word in held)
 
-    def __missing__(self, token: str) -> float:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        terms = terms_of(_EDGES.sub("", token))
+    def said(self, token: str) -> list[str]:
+        """Words and stems of the token's readings, of those at least that weigh."""
         if disguised(token):
             inner = token.strip(_ENDS)
             if self.may_weigh(inner) or inner != token and _LEET.search(token) and self.may_weigh(token):
-                terms = [t for word in self.channel.readings(token) for t in terms_of(word)]
+                return [t for word in self.channel.readings(token) for t in terms_of(word)]
+        return terms_of(_EDGES.sub("", token))
+
+    def __missing__(self, token: str) -> float:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        terms = self.said(token)
         self[token] = w = max(map(self.terms.get, terms, [0.0] * len(terms)))
         return w
 
 
+class _Held(_Weights):
+    """Token to those of the terms that its readings and their stems are, remembered."""
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[token] = found = tuple(t for t in self.said(token) if t in self.terms)
+        return found
+
+
 def terms_of(word: str) -> list[str]:
     """The word and its stems (marked with a hyphen)."""
     return [word, *[word[:k] + "-" for k in STEMS if len(word) >= k]] if word else [""]
@@ -324,17 +345,20 @@ def char_model(docs: DataFrame, words: dict[str, int] | None = None) -> Channel:
 
 
 def known_words(held: DataFrame) -> dict[str, int]:
-    """Plain words of at least ``MIN_DOCS`` documents of the sample, and of how many."""
+    """Plain words of at least ``MIN_DOCS`` documents and of one in ``RARE``, and of how many."""
+    least = max(MIN_DOCS, held.count() / RARE)
     words = held.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[\s.,;:?!\"'()]+"))).alias("word")).filter(F.col("word").rlike(r"^\p{L}+$"))
-    return {r["word"]: r["n"] for r in words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).collect()}
+    return {r["word"]: r["n"] for r in words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least).collect()}
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents outside the held-out fold: ``doc_id, toxic, half, text``."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int | None = None) -> DataFrame:
+    """The labelled documents outside the held-out fold, or ``rows`` of them drawn by hash: ``doc_id, toxic, half, text``."""
     ours = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT)
-    picked = ours.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    picked = ours.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    if rows is not None:
+        picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int").alias("half")
-    one = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), one_text())
+    one = docs.select("doc_id", "text").join(small(picked, picked.count()), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), one_text())
     return one.select("doc_id", "toxic", half, "text")
 
 
@@ -366,8 +390,62 @@ def term_counts(held: DataFrame, channel: Channel) -> DataFrame:
     return counts.select("half", "term", F.when(F.col("term").isNull(), F.col("docs")).otherwise(F.least("docs", "places")).alias("bad"), "good")
 
 
-def term_weights(counts: DataFrame) -> dict[str, float]:
-    """Log odds of words and stems between toxic and other documents, up to ``MAX_WEIGHT``; at most ``MAX_TERMS``, all of clear weight."""
+def good_counts(held: DataFrame, terms_in: Callable[[], Callable[[str], set[str]]]) -> DataFrame:
+    """``half, term, good``: documents that have a term; ``terms_in`` makes, once a task, what tells the terms of a text."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tell, good = terms_in(), Counter()
+        for b in batches:
+            for half, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                good.update((half, t) for t in tell(text or ""))
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in good], pa.int32()), pa.array([t for _, t in good], pa.string()), pa.array(list(good.values()), pa.int64())], names=["half", "term", "good"])
+
+    return spread(held.select("half", "text")).mapInArrow(count, "half int, term string, good long").groupBy("half", "term").agg(F.sum("good").alias("good"))
+
+
+def weighty_counts(held: DataFrame, channel: Channel) -> DataFrame:
+    """``term_counts`` of the terms that may weigh, and of all documents, without restoring what cannot change a weight.
+
+    Toxic documents are counted whole. The others are counted as they stand first, and every reading of theirs only for terms that
+    would weigh by that count: more of them can only make a term weigh less.
+    """
+    whole = held.groupBy("half").agg(F.lit(None).cast("string").alias("term"), F.count_if(F.col("toxic") > 0).alias("bad"), F.count_if(F.col("toxic") <= 0).alias("good"))
+    bad = durable(term_counts(held.filter("toxic > 0"), channel).filter("term IS NOT NULL").select("half", "term", "bad"), "toxic-bad")
+    others, last = held.filter("toxic <= 0"), (1 << FILTER_BITS) - 1
+    often = bad.groupBy("term").agg(F.sum("bad").alias("bad")).filter(F.col("bad") >= MIN_DOCS)
+    marked = np.zeros(last + 1, bool)
+    marked[often.select(F.crc32(F.col("term").cast("binary")).bitwiseAND(F.lit(last)).cast("int").alias("at")).distinct().toPandas()["at"].to_numpy(int)] = True
+    bits = np.packbits(marked)
+
+    def plainly():
+        seen, on = {}, np.unpackbits(bits)
+
+        def tell(text: str) -> set[str]:
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            found: set[str] = set()
+            for token in set(text.lower().split()):
+                if (terms := seen.get(token)) is None:
+                    terms = seen[token] = [t for t in terms_of(_EDGES.sub("", token)) if on[crc32(t.encode("utf-8", "replace")) & last]]
+                found.update(terms)
+            return found
+
+        return tell
+
+    row = lambda counts, name: counts.select("half", "term", *[(F.col(c) if c == name else F.lit(0).cast("long")).alias(c) for c in ("bad", "good")])
+    plain = durable(row(bad, "bad").unionByName(row(good_counts(others, plainly), "good")).unionByName(whole), "toxic-plain")
+    terms = {t: 1.0 for some in (plain, plain.filter("half <> 0"), plain.filter("half <> 1")) for t in term_weights(some, None, 0.0)}
+
+    def wholly():
+        known = _Held(channel, terms)
+        return lambda text: {t for token in set(channel.tokens(text)) for t in known[token]}
+
+    named = held.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    return row(bad.join(named, "term", "left_semi"), "bad").unionByName(row(good_counts(others, wholly), "good")).unionByName(whole)
+
+
+def term_weights(counts: DataFrame, most: int | None = MAX_TERMS, errors: float = MIN_ERRORS) -> dict[str, float]:
+    """Log odds of words and stems between toxic and other documents, up to ``MAX_WEIGHT``; at most ``most``, all of clear weight."""
     counts = counts.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     total = counts.filter("term IS NULL").first()
     if not total or not total["bad"] or not total["good"]:
@@ -376,23 +454,31 @@ def term_weights(counts: DataFrame) -> dict[str, float]:
     weight = F.least(odds("bad", total["bad"]) - odds("good", total["good"]), F.lit(MAX_WEIGHT))
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     clear = F.col("term").isNotNull() & (F.col("term") != "") & (F.col("bad") >= MIN_DOCS)
-    found = counts.filter(clear).select("term", weight.alias("w"), error.alias("error")).filter((F.col("w") >= MIN_WEIGHT) & (F.col("w") >= MIN_ERRORS * F.col("error"))).orderBy(F.desc("w"), "term").limit(MAX_TERMS)
+    found = counts.filter(clear).select("term", weight.alias("w"), error.alias("error")).filter((F.col("w") >= MIN_WEIGHT) & (F.col("w") >= errors * F.col("error")))
+    found = found if most is None else found.orderBy(F.desc("w"), "term").limit(most)
     return {r["term"]: r["w"] for r in found.collect()}
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[Channel, dict[str, float], gbt.Forest | None]:
-    held = durable(sample(docs, labels, rows), "toxic-sample")
+def cells(scored: DataFrame) -> DataFrame:
+    """``e0 .. e4, toxic, n``: how many documents of each class lie in each cell of ``GRID``; of those, a bounded number."""
+    at = [sum((F.col("evidence")[i] > e).cast("int") for e in edges).alias(f"e{i}") for i, edges in enumerate(GRID)]
+    return scored.select(*at, (F.col("toxic") > 0).alias("toxic")).groupBy(*[f"e{i}" for i in range(len(GRID))], "toxic").agg(F.count("*").alias("n"))
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int | None = None) -> tuple[Channel, dict[str, float], gbt.Forest | None]:
+    held = durable(sample(docs, labels, rows), "toxic-learned")
     channel = char_model(docs, known_words(held))
-    counts = durable(term_counts(held, channel), "toxic-terms")
+    counts = durable(weighty_counts(held, channel), "toxic-terms")
     seen = []
     for half in (0, 1):
         terms = term_weights(counts.filter(F.col("half") != half))
-        seen.append(with_evidence(held.filter(F.col("half") == half).select("doc_id", "toxic", "text"), channel, terms).orderBy("doc_id").toPandas())
-    y = np.concatenate([s["toxic"].to_numpy(float) > 0 for s in seen]).astype(float)
+        seen += cells(with_evidence(spread(held.filter(F.col("half") == half).select("toxic", "text")), channel, terms)).collect()
+    told = np.array(sorted(map(tuple, seen)), float).reshape(-1, len(GRID) + 2)
+    y, n = told[:, -2], told[:, -1]
     if not 0 < y.sum() < len(y):
         return channel, {}, None
-    x = np.stack([e for s in seen for e in s["evidence"]]).astype(float)
-    return channel, term_weights(counts), gbt.fit(x, y, monotone=MONOTONE, trees=40, depth=3, rate=0.3, least=5)
+    x = np.stack([np.append(edges, edges[-1] + 1)[told[:, i].astype(int)] for i, edges in enumerate(GRID)], axis=1)
+    return channel, term_weights(counts), gbt.fit(x, y, weights=n, edges=GRID, monotone=MONOTONE, trees=40, depth=3, rate=0.3, least=5)
 
 
 def with_evidence(docs: DataFrame, channel: Channel, terms: dict[str, float], forest: gbt.Forest | None = None) -> DataFrame:
@@ -412,7 +498,7 @@ def with_evidence(docs: DataFrame, channel: Channel, terms: dict[str, float], fo
     return docs.mapInArrow(run, schema)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, rows: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
     channel, terms, forest = train(docs, labels, rows)
     scored = with_evidence(spread(docs.select("doc_id", "text")), channel, terms, forest)

@@ -553,6 +553,29 @@ def test_more_data_makes_no_word_weightless(spark):
     assert set(weights) == {"rare"}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Toxic rows are told where they are the last of 36,000 by hash, far behind the first 20,000."""
+    from pyspark.sql import Window
+
+    ids = spark.range(54_000).withColumnRenamed("id", "doc_id").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    late = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")) > 30_000
+    rows = ids.select("doc_id", late.cast("int").alias("toxic")).localCheckpoint()
+    docs = rows.select("doc_id", F.concat(F.when(F.col("toxic") == 1, F.concat_ws(" ", F.translate((F.col("doc_id") % 97).cast("string"), "0123456789", "abcdefghij"), F.lit("grumblox"))).otherwise("a kind word"), F.lit(" for all")).alias("text"))
+    got = toxicity.score_toxicity(docs, rows.withColumn("quality", F.lit(1))).join(rows, "doc_id").groupBy("toxic", "predicted").count().collect()
+    assert {(r["toxic"], r["predicted"]) for r in got} == {(0, 0), (1, 1)} and sum(r["count"] for r in got) == rows.count()
+
+
+def test_counts_of_weighty_terms_are_whole(spark):
+    """What is left out as it cannot weigh changes no weight."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.sample(docs, labels).filter("doc_id % 3 = 0 OR toxic = 1").localCheckpoint()
+    channel = toxicity.char_model(docs, toxicity.known_words(held))
+    some, whole = (toxicity.durable(f(held, channel), "counts") for f in (toxicity.weighty_counts, toxicity.term_counts))
+    for half in (None, 0, 1):
+        left, right = (toxicity.term_weights(c if half is None else c.filter(F.col("half") != half)) for c in (some, whole))
+        assert left == right and len(left) > 5
+
+
 def test_learning_takes_one_row_of_each_id(spark):
     docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, None), (2, "x"), (3, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, 1) for i in range(4)], "doc_id long, quality int, toxic int")
