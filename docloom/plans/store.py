@@ -471,10 +471,11 @@ class Engine:
         """Publish an earlier revision again, as a new one."""
         if revision not in {r["revision"] for r in self._chain()}:
             raise Missing(revision)
-        record = self.revision(revision)
-        if issues := self._verify(record):
-            raise Corruption("; ".join(issues))
-        return self.publish(self.documents(revision), expected, width=record.get("width"))
+        with self._retention():
+            record = self.revision(revision)
+            if issues := self._verify(record):  # its digest too: what is named is what is stored
+                raise Corruption("; ".join(issues))
+            return self._commit(record["snapshot"], expected, None, record.get("width", T.SUMMARY_WIDTH))
 
     def problems(self, revision: str) -> DataFrame:
         """``bundle, path, problem``: how the stored concepts of a revision differ from what its documents compile to."""

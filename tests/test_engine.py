@@ -138,6 +138,18 @@ def test_history_restore_gc_verify_repair(engine):
     assert engine.manifest()
 
 
+def test_restore_reads_the_collection_once_to_digest_it(engine, spark, monkeypatch):
+    from docloom.plans import store
+
+    first = engine.head()["revision"]
+    engine.delete_bundle("ops")
+    taken, digest = [], store.digest_of
+    monkeypatch.setattr(store, "digest_of", lambda docs: taken.append(1) or digest(docs))
+    done = engine.restore(first, engine.head()["revision"])
+    assert len(taken) == 1 and engine.head()["revision"] == done["revision"] != first
+    assert engine.snapshot() == engine.revision(first)["snapshot"] and engine.documents().count() == len(SHOP)
+
+
 def test_damage_is_found_and_repaired(engine):
     good = engine.head()["revision"]
     bad = engine.write_source("ops", "n.md", "text\n")
