@@ -371,3 +371,34 @@ def test_ill_formed_text_is_refused_and_a_mark_kept(spark, tmp_path):
     (tmp_path / "b" / "c.md").write_bytes(b"bad \xff\xfe\n")
     with pytest.raises(Exception):
         read_folder(spark, str(tmp_path)).collect()
+
+
+def test_a_log_of_transactions_is_staged_at_once(spark, tmp_path, monkeypatch):
+    """Every revision of the log is what its transactions make one by one; those that change ids or links of others are made so."""
+    from docloom.plans import store
+
+    files = {("b", f"n{i:02}.md"): f"# N{i}\n\nSee [next](n{i + 1:02}.md).\n" for i in range(3)} | {("c", f"p{i}.md"): f"text {i}\n" for i in range(4)}
+    h = lambda text: store.hashlib.sha256(text.encode()).hexdigest()
+    write = lambda b, p, s, old=None: ("write", b, p, s, old and h(old))
+    drop = lambda b, p: ("delete", b, p, None, h(files[b, p]))
+    log = lambda batches: spark.createDataFrame([(n, *c) for n, batch in enumerate(batches) for c in batch], f"batch long, {store.CHANGE_SCHEMA}")
+    engine = Engine(spark, str(tmp_path))
+    engine.put(table(spark, files))
+    one_by_one = []
+    monkeypatch.setattr(engine, "transact", lambda batch, head: one_by_one.append(len(batch)) or {})
+    batches = [[write("b", "n01.md", "# One\n", files["b", "n01.md"]), write("d", "new.md", "x\n")], [drop("c", "p3.md"), write("c", "q.md", "[n](p1.md)\n")], [write("c", "p1.md", "3\n", "not held")], [write("e", "third.md", "4\n")]]
+    with pytest.raises(Conflict, match="c/p1.md: changed"):
+        engine.transact_all(log(batches))
+    assert not one_by_one
+    now, told = dict(files), engine.history()["revisions"][::-1]
+    assert len(told) == 3
+    for revision, batch in zip(told[1:], batches, strict=False):
+        now = {k: v for k, v in now.items() if ("delete", *k) not in [c[:3] for c in batch]} | {c[1:3]: c[3] for c in batch if c[0] == "write"}
+        assert {(r["bundle"], r["path"]): r["source"] for r in engine.documents(revision["revision"]).collect()} == now
+        assert store.digest_of(table(spark, now)).first()[0] == revision["snapshot"]
+    rows = lambda concepts: sorted(map(str, concepts.select(*sorted(concepts.columns)).collect()))
+    assert rows(engine.concepts()) == rows(C.compile_documents(table(spark, now))) and os.listdir(engine._path("staged")) == []
+    for others in ([write("e", "p2.md", "a name that c has\n")], [write("b", "n03.md", "linked to\n")], [drop("c", "p1.md")]):
+        one_by_one.clear()
+        engine.transact_all(log([others]))
+        assert one_by_one == [1]
