@@ -13,8 +13,8 @@ from ..sources.shared import durable, spread
 COLUMNS = ["id", "kind", "status", "grain", "summary", "links"]
 TENANT_COLUMNS = ["id", "bundle", "kind", "status", "grain", "summary", "links"]
 
-#: Heads that built-ins read exactly: lines ``key: value`` whose value is a plain string, or an ISO date.
-_SIMPLE = r"\A(?:[A-Za-z_][A-Za-z0-9_-]*:[ \t]+(?:[A-Za-z][^\n\r:#]*|\d{4}-\d{2}-\d{2})[ \t]*(?:\n|\r\n|\z))+\z"
+#: Heads that built-ins read exactly: lines ``key: value`` whose value is a plain string (in which ``#`` after a blank would begin a comment), or an ISO date.
+_SIMPLE = r"\A(?:[A-Za-z_][A-Za-z0-9_-]*:[ \t]+(?:[A-Za-z](?:[^\n\r:#]|(?<![ \t])#)*|\d{4}-\d{2}-\d{2})[ \t]*(?:\n|\r\n|\z))+\z"
 _NOT_STRINGS = r"(?m)^[A-Za-z_][A-Za-z0-9_-]*:[ \t]+(?:null|Null|NULL|true|True|TRUE|false|False|FALSE)[ \t]*\r?$"
 
 

@@ -18,6 +18,9 @@ from ..sources.shared import durable, scratch_path, spread
 K1, B = 1.2, 0.75
 WEIGHTS = {"body": 1, "fields": 2, "names": 4}
 DEFAULT_K, MAX_K = 8, 50
+POSTINGS = "term string, id string, tf long, dl long"
+#: Ids that a broadcast may hold.
+FEW_IDS = 100_000
 
 
 @dataclass
@@ -37,10 +40,10 @@ def plain_documents(docs: DataFrame, id_: Column, text: Column) -> DataFrame:
     return docs.select(id_.alias("id"), text.alias("body"), F.lit("").alias("fields"), F.lit("").alias("names"))
 
 
-def tokenized(documents: DataFrame) -> DataFrame:
+def tokenized(documents: DataFrame, spread_out: bool = True) -> DataFrame:
     """``id, w, terms``: each part of each document with its weight, in one pass. Only texts that aren't vetted reach the exact tokenizer."""
     each = F.explode(F.array(*[F.struct(F.col(p).alias("text"), F.lit(w).cast("long").alias("w")) for p, w in WEIGHTS.items()]))
-    parts = spread(documents).select("id", each.alias("p")).select("id", "p.text", "p.w")
+    parts = (spread(documents) if spread_out else documents).select("id", each.alias("p")).select("id", "p.text", "p.w")
     parts = parts.withColumn("odd", F.when(~T.is_vetted(F.col("text")), F.col("text")))
     return parts.select("id", "w", F.when(F.col("odd").isNull(), T.tokens(F.col("text"))).otherwise(P.tokens_exact("odd")).alias("terms"))
 
@@ -70,17 +73,25 @@ def doc_frequencies(postings: DataFrame) -> DataFrame:
 
 
 def write_index(documents: DataFrame, path: str) -> None:
-    """Store the index of ``documents`` at ``path``: each text is tokenized once, into a stored table that lengths and postings read."""
-    tokens = durable(tokenized(documents), "tokens")
-    lengths = durable(_lengths(tokens), "lengths")
-    postings = _frequencies(tokens).join(lengths, "id").select("term", "id", "tf", "dl")
-    postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
+    """Store the index of ``documents`` at ``path``: they are dealt by id once, so that each is tokenized, counted and measured where it lies.
+
+    Every task sorts its postings by term into files of its own. A query reads the pages of its terms in each.
+    """
+    dealt = documents.select("id", "body", "fields", "names").repartition("id")
+    each = tokenized(dealt, spread_out=False).groupBy("id").agg(F.sum(F.size("terms") * F.col("w")).alias("dl"), F.collect_list(F.struct("w", "terms")).alias("parts"))
+    # outer: as in _frequencies
+    parts = each.select("id", "dl", F.explode_outer("parts").alias("p")).select("id", "dl", "p.w", F.explode_outer("p.terms").alias("term")).filter(F.col("term").isNotNull())
+    postings = parts.groupBy("term", "id", "dl").agg(F.sum("w").alias("tf")).select("term", "id", "tf", "dl")
+    postings.sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    # a document without terms has no posting, but counts
+    n = documents.select("id").distinct().agg(F.count("*").alias("n"))
+    total = documents.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    n.crossJoin(F.broadcast(total)).select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
     n, mean = spark.read.schema("n long, mean double").parquet(f"{path}/stats").first()
-    return Index(spark.read.schema("term string, id string, tf long, dl long").parquet(f"{path}/postings"), n, mean or 0.0)
+    return Index(spark.read.schema(POSTINGS).parquet(f"{path}/postings"), n, mean or 0.0)
 
 
 def build_index(documents: DataFrame) -> Index:
@@ -94,12 +105,11 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(P.terms(query)))
 
 
-def contributions(index: Index, matched: DataFrame, keys: list[str]) -> DataFrame:
-    """``*keys, id, score`` of ``matched(*keys, term, id, tf, dl)``, which has all postings of its terms.
+def contributions(index: Index, matched: DataFrame, keys: list[str], df: DataFrame) -> DataFrame:
+    """``*keys, id, score`` of ``matched(*keys, term, id, tf, dl)``; ``df(term, df)`` counts all postings of its terms.
 
     Contributions are added in sorted order, so that a score does not depend on how rows were dealt.
     """
-    df = matched.select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(index.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(index.mean) if index.mean else F.lit(1.0)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
@@ -111,9 +121,12 @@ def contributions(index: Index, matched: DataFrame, keys: list[str]) -> DataFram
 def search(index: Index, query: str, k: int = DEFAULT_K, keep: DataFrame | None = None) -> DataFrame:
     """``id, score, rank`` of the k best: by score, then id. ``keep(id)`` narrows before the cut, not the statistics."""
     terms = query_terms(query)
-    scored = contributions(index, index.postings.filter(F.col("term").isin(terms) if terms else F.lit(False)), [])
+    matched = index.postings.filter(F.col("term").isin(terms) if terms else F.lit(False))
+    df = doc_frequencies(matched)  # of all documents: what is narrowed is only what is scored
     if keep is not None:
-        scored = scored.join(keep.select("id"), "id", "left_semi")
+        ids = keep.select("id")
+        matched = matched.join(F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids, "id", "left_semi")
+    scored = contributions(index, matched, [], F.broadcast(df))  # a row for each term of the query
     best = scored.orderBy(F.desc("score"), "id").limit(max(0, k))
     # at most k rows: numbering them in one task is no burden
     held = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id")))
@@ -131,13 +144,17 @@ def search_terms(index: Index, asked: DataFrame, k: int = DEFAULT_K) -> DataFram
 
     matched = index.postings.join(asked, "term").select("qid", "term", "id", "tf", "dl")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    best = contributions(index, matched, ["qid"]).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
+    df = doc_frequencies(index.postings.join(asked.select("term").distinct(), "term", "left_semi"))
+    best = contributions(index, matched, ["qid"], df).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
     return best.select("qid", "id", "score", (F.col("nth") - 1).alias("rank"))
 
 
-def expand(hits: DataFrame, concepts: DataFrame, k: int = DEFAULT_K, bundle: str | None = None) -> DataFrame:
-    """Concepts that hits point at: by how many do, then the first of them, then id; at most k. Hits themselves are left out."""
-    links = concepts.select("id", "links").join(F.broadcast(hits.select("id", "rank")), "id").select("rank", F.explode("links").alias("target"))
+def expand(hits: DataFrame, concepts: DataFrame, k: int = DEFAULT_K, bundle: str | None = None, named: DataFrame | None = None) -> DataFrame:
+    """Concepts that hits point at: by how many do, then the first of them, then id; at most k. Hits themselves are left out.
+
+    ``named``: the concepts of the hits, if the caller has narrowed them already.
+    """
+    links = (concepts if named is None else named).select("id", "links").join(F.broadcast(hits.select("id", "rank")), "id").select("rank", F.explode("links").alias("target"))
     aims = links.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("inbound"), F.min("rank").alias("first"))
     aims = aims.join(F.broadcast(hits.select("id")), "id", "left_anti")
     known = concepts if bundle is None else concepts.filter(F.col("bundle") == bundle)
@@ -154,10 +171,13 @@ def search_rows(index: Index, concepts: DataFrame, query: str, k: int = DEFAULT_
     """Manifest rows of hits and of what they link to: ``place`` (order), ``direct``, the manifest columns, ``pos``."""
     keep = None if bundle is None else concepts.filter(F.col("bundle") == bundle).select("id")
     hits = durable(search(index, query, k, keep), "hits")  # read three times
-    direct = with_windows(hits, concepts, query).select("id", F.lit(0).alias("group"), F.struct(F.col("rank").cast("long").alias("a"), F.lit(0).alias("b")).alias("order"), F.col("pos").cast("string").alias("pos"))
+    ids = [r["id"] for r in hits.select("id").collect()]  # at most k: their bodies and links are read by id, not by a join with all
+    named = concepts.filter(F.col("id").isin(ids))
+    direct = with_windows(hits, named, query).select("id", F.lit(0).alias("group"), F.struct(F.col("rank").cast("long").alias("a"), F.lit(0).alias("b")).alias("order"), F.col("pos").cast("string").alias("pos"))
     if linked:
-        more = expand(hits, concepts, k, bundle)
+        more = durable(expand(hits, concepts, k, bundle, named), "linked")
+        ids += [r["id"] for r in more.select("id").collect()]
         direct = direct.union(more.select("id", F.lit(1), F.struct((-F.col("inbound")).alias("a"), F.col("first").alias("b")), F.lit(T.EMPTY)))
-    rows = concepts.join(F.broadcast(direct), "id")
+    rows = concepts.filter(F.col("id").isin(ids)).join(F.broadcast(direct), "id")
     cell = F.when(F.size("links") == 0, F.lit(T.EMPTY)).otherwise(F.array_join("links", " "))
     return rows.select("group", "order", "id", "bundle", "kind", "status", "grain", "summary", cell.alias("links"), F.coalesce("pos", F.lit(T.EMPTY)).alias("pos")).orderBy("group", "order", "id")

@@ -78,6 +78,33 @@ def test_texts_that_need_the_exact_tokenizer_are_found(spark):
     assert [r["id"] for r in S.search(index, "fish", 3).collect()] == ["a"]
 
 
+def test_an_index_is_dealt_by_id_once_and_equals_the_operators(spark, tmp_path):
+    """Also of ids that come twice, documents without terms and texts for the exact tokenizer."""
+    docs = corpus(spark, [("a", "x y y", "f", "n"), ("a", "y z", "", ""), ("b", "ﬁsh y", "", "b"), ("c", "", "", "")]).repartition(3)
+    S.write_index(docs, f"file://{tmp_path}/index")
+    index = S.read_index(spark, f"file://{tmp_path}/index")
+    lengths = {r["id"]: r["dl"] for r in S.doc_lengths(docs).collect()}
+    want = {(r["term"], r["id"], r["tf"], lengths[r["id"]]) for r in S.term_frequencies(docs).collect()}
+    got = [tuple(r) for r in index.postings.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert index.n == 3 and index.mean == sum(lengths.values()) / 3
+    # what narrows a search narrows no statistics
+    whole = {r["id"]: r["score"] for r in S.search(index, "y fish", 5).collect()}
+    some = S.search(index, "y fish", 5, spark.createDataFrame([("b",)], "id string")).collect()
+    assert set(whole) == {"a", "b"} and [(r["id"], r["score"]) for r in some] == [("b", whole["b"])]
+
+
+def test_a_hash_sign_within_a_word_needs_no_yaml_reader(spark):
+    from docloom.functions.python import parse_head
+
+    heads = {"title: Customer#000000001": True, "title: Customer #1": False, "title: a#b #c": False, "title: a\t# b": False, "title: C# and F#": True, "title: #": False}
+    files = {("b", f"{i}.md"): f"---\n{head}\n---\n\nText.\n" for i, head in enumerate(heads)}
+    simple = {r["head"]: r["simple"] for r in C.split_frontmatter(table(spark, files)).collect()}
+    assert simple == heads
+    told = {r["path"]: r["title"] for r in C.parse_frontmatter(table(spark, files)).collect()}
+    assert told == {f"{i}.md": parse_head(head)[0].get("title") or "" for i, head in enumerate(heads)}
+
+
 @pytest.fixture()
 def engine(spark, tmp_path):
     e = Engine(spark, str(tmp_path), "acme")
