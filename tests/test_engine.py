@@ -429,3 +429,59 @@ def test_a_log_of_transactions_is_staged_at_once(spark, tmp_path, monkeypatch):
         one_by_one.clear()
         engine.transact_all(log([others]))
         assert one_by_one == [1]
+
+
+def test_a_bundle_is_deleted_without_compiling_what_is_left(spark, tmp_path, monkeypatch):
+    files = {
+        ("a", "x.md"): md("A", "One.", "[y](y.md) [gone](g.md)\n"), ("a", "y.md"): md("A", "Two.", "[x](x.md)\n"), ("a", "p/z.md"): md("A", "Three.", "[q](../q/z.md)\n"), ("a", "q/z.md"): "# Z\n\nText.\n",
+        ("b", "x.md"): md("B", "Four.", "[y](y.md)\n"), ("b", "y.md"): md("B", "Five."), ("b", "w.md"): "# W\n", ("c", "y.md"): md("C", "Six.", "[v](v.md)\n"), ("c", "v.md"): "# V\n", ("c", "index.md"): "# c\n",
+    }
+    engine, fresh = Engine(spark, str(tmp_path), "a"), Engine(spark, str(tmp_path), "b")
+    engine.put(table(spark, files))
+    first = engine.head()["revision"]
+    compiled = []
+    with monkeypatch.context() as m:
+        m.setattr(C, "split_frontmatter", lambda docs, f=C.split_frontmatter: compiled.append(1) or f(docs))
+        engine.delete_bundle("b")
+    fresh.put(table(spark, {k: s for k, s in files.items() if k[0] != "b"}))
+    rows = lambda e: sorted(map(str, e.concepts().select(*sorted(e.concepts().columns)).collect()))
+    assert not compiled and engine.snapshot() == fresh.snapshot() and rows(engine) == rows(fresh)
+    assert {r["id"] for r in engine.concepts().collect()} == {"x", "a/y", "c/y", "p/z", "q/z", "v"}
+    assert engine.verify() == [] and engine.restore(first, engine.head()["revision"])["snapshot"] == engine.revision(first)["snapshot"]
+
+
+def test_a_put_builds_its_documents_once(spark, tmp_path):
+    from docloom.plans import store
+
+    n = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    docs = table(spark, {("b", f"n{i}.md"): f"# N{i}\n" for i in range(50)})
+    Engine(spark, str(tmp_path)).put(docs.mapInArrow(count, store.DOC_SCHEMA))
+    assert n.value <= 100  # the pass that writes and the sample that its ranges take
+
+
+def test_verify_tells_a_concept_that_is_stored_twice(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    engine.put(table(spark, {("b", "a.md"): "# A\n", ("b", "c.md"): "# C\n", ("b", "d.md"): "# D\n"}))
+    folder = engine._table("concepts", engine.snapshot())
+    held = spark.createDataFrame(spark.read.parquet(folder).collect(), spark.read.parquet(folder).schema)
+    held.filter("path <> 'd.md'").unionByName(held.filter("path = 'a.md'")).write.mode("overwrite").parquet(folder)
+    spark.catalog.clearCache()
+    issues = engine.verify()
+    assert len(issues) == 2 and any("b/a.md: concept stored twice" in i for i in issues) and any("b/d.md: source without concept" in i for i in issues)
+
+
+def test_heads_are_split_as_the_pattern_says(spark):
+    from docloom.functions import text as T
+
+    heads = ["---\na: b\n---\ntext", "---\n---\nx", "---\n\n---\nx", "---  \r\na: b\r\n---\t\r\nx", "---\na\r\r\n---", "---\na\n---x\n---\ny\n---\n", "--- x\na\n---\n", "---\na: b\n", "----\na\n---\n", "---", "", "x\n---\na\n---\n", "---\n😀\n---\n😀 y", "﻿---\na: b\n---\nz", "---\na\n----\nb\n---"]
+    docs = spark.createDataFrame([(h,) for h in heads], "source string")
+    source = T.strip_bom(F.col("source"))
+    told = docs.select("source", T.frontmatter_text(source).alias("head"), T.body_of(source).alias("body"), (T.frontmatter_block(source) != "").alias("conformant"))
+    split = C.split_frontmatter(docs.withColumn("was", F.col("source"))).select(F.col("was").alias("source"), "head", "body", "conformant")
+    assert sorted(split.collect()) == sorted(told.collect())
