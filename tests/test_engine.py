@@ -485,3 +485,16 @@ def test_heads_are_split_as_the_pattern_says(spark):
     told = docs.select("source", T.frontmatter_text(source).alias("head"), T.body_of(source).alias("body"), (T.frontmatter_block(source) != "").alias("conformant"))
     split = C.split_frontmatter(docs.withColumn("was", F.col("source"))).select(F.col("was").alias("source"), "head", "body", "conformant")
     assert sorted(split.collect()) == sorted(told.collect())
+
+
+def test_a_folder_is_read_by_few_tasks_as_the_reader_reads_it(spark, tmp_path):
+    from docloom.sources import markdown
+
+    names = ["b/a.md", "b/x/y.MD", "b/_hidden.md", "b/_h/z.md", "b/.g/z.md", "b/k=_v/q.md", "b/t.txt", "c d/é 😀%20.md", "top.md", "_b/a.md", *(f"many/n{i}.md" for i in range(300))]
+    write_tree(tmp_path, {("", n): f"text of {n}\r\n" for n in names})
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][dD]").option("recursiveFileLookup", "true").load(str(tmp_path))
+    tail = F.substr(F.col("path"), F.lit(len(f"file:{tmp_path}") + 2))
+    told = files.select(tail.alias("tail"), F.decode("content", "UTF-8").alias("source")).filter(F.contains("tail", F.lit("/"))).collect()
+    found = markdown.read_folder(spark, str(tmp_path))
+    assert sorted((f"{r['bundle']}/{r['path']}", r["source"]) for r in found.collect()) == sorted((r["tail"], r["source"]) for r in told)
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
